@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Unbounded inputs: framed statistics, sessions and voiced runs of event streams."""
