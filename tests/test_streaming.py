@@ -10,11 +10,8 @@ def run(spark, tmp_path, make, mode="append"):
     spark.createDataFrame(rows, "k int, ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("k int, ts timestamp, v double").parquet(str(tmp_path / "in"))
     name = f"out_{make.__name__}"
-    q = make(s).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    q = make(s).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     return spark.sql(f"select * from {name}").collect()
 
 
