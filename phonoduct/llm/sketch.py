@@ -17,9 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from phonoduct.runtime import changes, per_groups
+from phonoduct.runtime import changes, cut_lineage, per_groups
 
 
 @dataclass(frozen=True)
@@ -263,8 +262,6 @@ def check_stored(frames: DataFrame, stored: DataFrame, keys: Sequence[str], valu
             out.append(np.where(np.isnan(v), OUTSIDE, judge(m, below, upto, ps, slack)).astype("i4"))
         return pd.Series(out, dtype=object)
 
-    from phonoduct.runtime import cut_lineage
-
     rows = F.explode(F.arrays_zip(F.array(*(F.lit(s) for s in names)).alias("stat"), F.array(*(F.lit(float(p)) for p in ps)).alias("p"), F.array(*names).alias("s"), F.col("_v").alias("v")))
     judged = cut_lineage(
         wide.withColumn("_v", verdicts("n", "nodes", "counts", F.array(*names))).select(*keys, "n", rows.alias("z"))
@@ -277,13 +274,14 @@ def check_stored(frames: DataFrame, stored: DataFrame, keys: Sequence[str], valu
 
 def _count_exactly(frames: DataFrame, unsure: DataFrame, keys: list[str], value: str, unique: Sequence[str], slack: float, u: Universe) -> DataFrame:
     """Exact check of stored values by counts and neighbours, with partial sums; no group of readings is gathered."""
-    d = frames.where(F.col(value).between(u.low, u.high)).select(*keys, *unique, F.col(value).alias("_x"))
+    d = frames.where(F.col(value).between(u.low, u.high)).select(*keys, *(F.col(c).alias(f"_u{i}") for i, c in enumerate(unique)), F.col(value).alias("_x"))
     d = d.join(unsure.select(*keys).distinct(), keys, "left_semi")
     if unique:
         d = d.distinct()
-    x, s = F.col("_x"), F.col("s")
+    asked = unsure.select(*keys, F.col("stat").alias("_stat"), F.col("p").alias("_p"), F.col("s").alias("_s"))
+    x, s = F.col("_x"), F.col("_s")
     c = (
-        d.join(unsure.select(*keys, "stat", "p", "s"), keys).groupBy(*keys, "stat", "p", "s")
+        d.join(asked, keys).groupBy(*keys, "_stat", "_p", "_s")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum((x < s).cast("bigint")).alias("lt"), F.sum((x <= s).cast("bigint")).alias("le"),
@@ -291,9 +289,9 @@ def _count_exactly(frames: DataFrame, unsure: DataFrame, keys: list[str], value:
             F.max(F.when(x <= s, x)).alias("le_x"), F.min(F.when(x > s, x)).alias("gt_x"),
         )
     )
-    lo, hi = (F.col("n") - 1) * F.greatest(F.col("p") - slack, F.lit(0.0)), (F.col("n") - 1) * F.least(F.col("p") + slack, F.lit(1.0))
+    lo, hi = (F.col("n") - 1) * F.greatest(F.col("_p") - slack, F.lit(0.0)), (F.col("n") - 1) * F.least(F.col("_p") + slack, F.lit(1.0))
     k, j = F.floor(lo), F.floor(hi)
     # s is below Q = x_k + f (x_k+1 - x_k): none of x_k, x_k+1 <= s; or x_k <= s < x_k+1 and the blend is larger
     low = (F.col("le") <= k) | ((F.col("le") == k + 1) & (F.col("le_x") + (lo - k) * (F.coalesce("gt_x", "le_x") - F.col("le_x")) > s))
     high = (F.col("lt") >= j + 2) | ((F.col("lt") == j + 1) & (F.col("lt_x") + (hi - j) * (F.coalesce("ge_x", "lt_x") - F.col("lt_x")) < s))
-    return c.where(low | high).select(*keys, "stat")
+    return c.where(low | high).select(*keys, F.col("_stat").alias("stat"))
