@@ -23,12 +23,12 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: st
     return a.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def repeated_values(df: DataFrame, key: str, ts: str, value: str, within: float = 0.0, idle: str = "1 hour") -> DataFrame:
+def repeated_values(df: DataFrame, key: str, ts: str, value: str, within: float = 0.0, idle: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(key, start, end, n): runs of consecutive events whose value stays within ``within`` of the one before.
 
-    A run is emitted when an event breaks it, or when its key has been idle. The state is the run's ends and last value.
+    A run is emitted when an event breaks it, or when the watermark has passed its end by ``idle``. The state is the run's ends and last value.
     """
-    seconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done = []
@@ -47,10 +47,10 @@ def repeated_values(df: DataFrame, key: str, ts: str, value: str, within: float
                     done.append(run)
                 run = (us, us, 1, v)
         state.update(run)
-        state.setTimeoutDuration(seconds)
+        state.setTimeoutTimestamp(max(run[1] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"k": [k[0]] * len(done), "start": pd.to_datetime([r[0] for r in done], unit="us"), "end": pd.to_datetime([r[1] for r in done], unit="us"), "n": [r[2] for r in done]})
 
     kind = dict(df.dtypes)[key]
-    d = df.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v"))
-    out = d.groupBy("k").applyInPandasWithState(step, f"k {kind}, start timestamp, end timestamp, n bigint", "start bigint, end bigint, n bigint, v double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    d = df.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).withWatermark("ts", late)
+    out = d.groupBy("k").applyInPandasWithState(step, f"k {kind}, start timestamp, end timestamp, n bigint", "start bigint, end bigint, n bigint, v double", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("k", key)
