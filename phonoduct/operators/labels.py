@@ -17,6 +17,10 @@ def _in_order() -> WindowSpec:
     return Window.partitionBy(UTT).orderBy("pos")
 
 
+def _in_total_order() -> WindowSpec:
+    """By pos, then time and phoneme, nulls last, so that labels of one pos have an order too."""
+    return Window.partitionBy(UTT).orderBy(*[F.asc_nulls_last(c) for c in ("pos", "start_s", "end_s", "phoneme")])
+
 
 class LabelError(ValueError):
     """Labels break a rule of their list."""
@@ -67,19 +71,26 @@ def convert(labels: DataFrame, phoneme_type: str) -> DataFrame:
 
 
 def violations(labels: DataFrame, phoneme_type: str) -> DataFrame:
-    """(utt_id, pos, problem) of labels that break the rules: first start 0, start < end, known phoneme, end = next start."""
+    """(utt_id, pos, problem) of labels that break the rules: first start 0, start < end, known phoneme, end = next start.
+
+    A label has one row with the first of these rules that it breaks. A pos that is null, or that other labels of the
+    utterance have too, is a row of its own, so it hides no other problem. Labels follow each other by pos, start, end
+    and phoneme, nulls last. Repeated rows count as repeated pos.
+    """
     p = F.col("phoneme")
     known = F.lit(True) if phoneme_type == "dummy" else p.isin(vocabulary(phoneme_type))
     alone = F.lit(phoneme_type == "dummy")
-    last = F.lag("end_s").over(_in_order())
-    first = F.row_number().over(_in_order()) == 1
+    w = _in_total_order()
+    last = F.lag("end_s").over(w)
+    first = F.row_number().over(w) == 1
     problem = (
         F.when(first & (F.col("start_s") != 0), "the first label does not start at 0")
         .when(~alone & ~F.coalesce(F.col("start_s") < F.col("end_s"), F.lit(False)), "the label does not end after its start")
         .when(~alone & ~F.coalesce(known, F.lit(False)), "the phoneme is not in the vocabulary")
         .when(~first & ~F.coalesce(last == F.col("start_s"), F.lit(False)), "the label does not start where the one before ends")
     )
-    return labels.select(UTT, "pos", problem.alias("problem")).where("problem is not null")
+    place = F.when(F.col("pos").isNull(), "the pos is null").when((F.lag("pos").over(w) == F.col("pos")) | (F.lead("pos").over(w) == F.col("pos")), "the pos is repeated")
+    return labels.select(UTT, "pos", F.array_compact(F.array(place, problem)).alias("p")).select(UTT, "pos", F.explode("p").alias("problem"))
 
 
 def verify(labels: DataFrame, phoneme_type: str) -> DataFrame:
@@ -92,7 +103,7 @@ def verify(labels: DataFrame, phoneme_type: str) -> DataFrame:
 
 def split_valid(labels: DataFrame, phoneme_type: str) -> tuple[DataFrame, DataFrame]:
     """(labels of sound utterances, dead letters (utt_id, error)), for runs that go on over errors."""
-    dead = violations(labels, phoneme_type).groupBy(UTT).agg(F.min_by("problem", "pos").alias("error"))
+    dead = violations(labels, phoneme_type).groupBy(UTT).agg(F.min_by("problem", F.struct(F.col("pos").isNull(), "pos", "problem")).alias("error"))
     return labels.join(dead, UTT, "left_anti"), dead
 
 

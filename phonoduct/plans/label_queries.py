@@ -55,11 +55,26 @@ v as (select utt_id, pos, case when f and start_s <> 0 then 'the first label doe
   when not f and not coalesce(p = start_s, false) then 'the label does not start where the one before ends' end problem from c)
 select * from v where problem is not null""")
 def a11_violations(spark, d):
+    """Violations in utterances whose pos are distinct and not null, as in the SQL; :func:`a11_all_violations` takes all."""
     x = table(spark, d, "phoneme_labels").select("utt_id", "pos", "phoneme", "start_s", "end_s").distinct()
     sound = x.groupBy("utt_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("m"), F.count("pos").alias("k")).where("n = m and n = k")
     return L.violations(x.join(sound, "utt_id", "left_semi"), "openjtalk")
 
 
+@query("a11_all_violations", """with r as (select distinct utt_id, pos, phoneme, start_s, end_s from phoneme_labels),
+c as (select *, lag(end_s) over w p, row_number() over w = 1 f, count(pos) over (partition by utt_id, pos) k from r
+  window w as (partition by utt_id order by pos nulls last, start_s nulls last, end_s nulls last, phoneme nulls last)),
+v as (select utt_id, pos, case when f and start_s <> 0 then 'the first label does not start at 0'
+  when not coalesce(start_s < end_s, false) then 'the label does not end after its start'
+  when not coalesce(phoneme in (""" + _LIST[1:-1] + """), false) then 'the phoneme is not in the vocabulary'
+  when not f and not coalesce(p = start_s, false) then 'the label does not start where the one before ends' end problem from c
+  union all select utt_id, pos, case when pos is null then 'the pos is null' when k > 1 then 'the pos is repeated' end from c)
+select * from v where problem is not null""")
+def a11_all_violations(spark, d):
+    """Violations in all utterances, those with repeated or null pos too."""
+    return L.violations(table(spark, d, "phoneme_labels").select("utt_id", "pos", "phoneme", "start_s", "end_s").distinct(), "openjtalk")
+
+
 @query("a12_convert_edges", "with " + _SPELLED + " select utt_id, pos, case when phoneme = 'silB' then 'pau' else phoneme end phoneme from s")
 def a12_convert_edges(spark, d):
     return L.convert(_spelled(spark, d), "openjtalk").select("utt_id", "pos", "phoneme")

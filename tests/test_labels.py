@@ -34,6 +34,15 @@ def test_rules(spark):
     assert L.violations(word(spark, [("d", 0, "?", 0.0, 0.1)]), "dummy").count() == 0
 
 
+def test_rules_hold_for_repeated_and_null_pos(spark, rows):
+    bad = [("a", 0, "k", 0.0, 0.2), ("a", 1, "?", 0.2, 0.3), ("a", 1, "o", 0.3, 0.3), ("a", 2, "o", 0.3, 0.4), ("a", None, "k", 0.5, 0.6), ("b", None, "k", 0.0, 0.1), ("c", 0, "k", 0.0, 0.1)]
+    repeated, null = "the pos is repeated", "the pos is null"
+    want = [("a", 1, repeated), ("a", 1, repeated), ("a", 1, "the phoneme is not in the vocabulary"), ("a", 1, "the label does not end after its start"), ("a", None, null), ("a", None, "the label does not start where the one before ends"), ("b", None, null)]
+    assert rows(L.violations(word(spark, bad), "openjtalk")) == sorted(want, key=repr)
+    sound, dead = L.split_valid(word(spark, bad), "openjtalk")
+    assert [r.utt_id for r in sound.collect()] == ["c"] and {r.utt_id: r.error for r in dead.collect()} == {"a": "the label does not end after its start", "b": null}
+
+
 def numpy_frames(data, rate, vocabulary):
     n = int(round(data[-1][4] * rate)) + 1
     out = np.zeros(n)
