@@ -9,7 +9,7 @@ from phonoduct.llm.encode import encode
 from phonoduct.llm.packing import pack
 from phonoduct.llm.runs import collapse_runs, with_duration
 from phonoduct.llm.sketch import check_stored, digest_quantiles, digests
-from phonoduct.llm.spans import coverage, passages, shared_blocks, shared_runs
+from phonoduct.llm.spans import coverage, linked_passages, shared_blocks, shared_runs
 from phonoduct.llm.splitting import cut_series, forced, pieces
 from phonoduct.runtime import table
 
@@ -73,8 +73,8 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Chained passages between classes of equal texts, with the edits between their exact blocks."""
-    return passages(shared_blocks(table(spark, d, "documents")))
+    """Chained passages between every two classes of equal texts that share one, with the edits between their exact blocks."""
+    return linked_passages(table(spark, d, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_quantiles, p4_found, p4_runs, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_coverage, p8_passages)}

@@ -5,7 +5,8 @@
    windows hold the same. Only seeds that occur in two classes are kept.
 3. Anchors: the windows of ``least`` characters around kept seeds, by 128-bit fingerprint. Each is matched with
    one partner, the first or the last class that holds it - enough to know whether it is shared, and
-   linear in the number of windows however often one occurs.
+   linear in the number of windows however often one occurs. With ``every`` each is matched with all classes that
+   hold it: windows that always follow each other are one stretch, and stretches are matched, not windows.
 4. Anchors on one diagonal merge into blocks; the blocks of a record and partner are chained with gap costs
    through a Fenwick tree, so that passages may go on over small edits.
 5. :func:`passages` aligns what lies between the blocks of a chain; :func:`shared_runs` unites the exact blocks.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonoduct.runtime import cut_lineage, per_groups
@@ -113,8 +114,8 @@ def _seeds(least: int):
     return run
 
 
-def _windows(least: int):
-    """Fingerprints of the windows that hold one of a text's kept seeds."""
+def _windows(least: int, around: bool = False):
+    """Fingerprints of the windows that hold one of a text's kept seeds; ``around``: with the characters before and after, -1 for none."""
     reach = least - (least // 2 + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +136,34 @@ def _windows(least: int):
                     np.add.at(near, np.clip(p + 1, s, min(e, n)), -1)
                 pos = np.flatnonzero((np.cumsum(near[:-1]) > 0) & _whole(rows, at, least))
                 one, two = (f(chars, least)[pos].view(np.int64) for f in (_ONE, _TWO))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[rows[pos]]), pa.array(at[pos])], ["h", "g", "c", "p"])
+                out, names = [pa.array(one), pa.array(two), pa.array(ids[rows[pos]]), pa.array(at[pos])], ["h", "g", "c", "p"]
+                if around:
+                    # None is taken as -1 at the edge of a segment too: that parts a stretch for all that hold it.
+                    for k, name in ((-1, "before"), (least, "after")):
+                        i = np.clip(pos + k, 0, len(chars) - 1)
+                        near_by = (rows[i] == rows[pos]) & (at[i] - at[pos] == k)
+                        out.append(pa.array(np.where(near_by, chars[i].astype(np.int32), np.int32(-1))))
+                        names.append(name)
+                found = pa.RecordBatch.from_arrays(out, names)
+                yield from (found.slice(i, 50_000) for i in range(0, found.num_rows, 50_000))
 
     return run
 
 
+_STRETCH = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("c", pa.int64()), ("p", pa.int32()), ("n", pa.int32())])
+
+
+def _stretches(t: pa.Table, at: np.ndarray) -> pa.Table:
+    """Stretches of n windows of which each always goes with the next, named by the first window."""
+    p, left, right = (t.column(x).to_numpy(zero_copy_only=False) for x in ("p", "left", "right"))
+    new = np.zeros(len(p), bool)
+    new[at] = True
+    new[1:] |= (p[1:] != p[:-1] + 1) | ~(right[:-1] & left[1:])
+    s = np.flatnonzero(new)
+    n = np.diff(np.append(s, len(p))).astype(np.int32)
+    return pa.table([*(t.column(x).take(pa.array(s)) for x in ("h", "g", "c", "p")), pa.array(n)], schema=_STRETCH)
+
+
 _BLOCK = pa.schema([("c", pa.int64()), ("partner", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("n", pa.int32()), ("chain", pa.int32())])
 
 
@@ -200,12 +224,12 @@ def chain(p: np.ndarray, q: np.ndarray, size: np.ndarray, gap_cost: float) -> np
 
 def _blocks(least: int, gap_cost: float):
     def run(t: pa.Table, at: np.ndarray) -> pa.Table:
-        c, partner, p, q = (t.column(x).to_numpy() for x in ("c", "partner", "p", "q"))
+        c, partner, p, q, n = (t.column(x).to_numpy() for x in ("c", "partner", "p", "q", "n"))
         order = np.lexsort((p, q - p, partner, c))
-        c, partner, p, q = c[order], partner[order], p[order], q[order]
-        new = np.append(True, (c[1:] != c[:-1]) | (partner[1:] != partner[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1))
+        c, partner, p, q, n = c[order], partner[order], p[order], q[order], n[order]
+        new = np.append(True, (c[1:] != c[:-1]) | (partner[1:] != partner[:-1]) | (p[1:] != p[:-1] + n[:-1]) | (q[1:] != q[:-1] + n[:-1]))
         s = np.flatnonzero(new)
-        n = np.diff(np.append(s, len(p)))
+        n = np.add.reduceat(n, s)
         c, partner, p, q = c[s], partner[s], p[s], q[s]
         pair = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (partner[1:] != partner[:-1])))
         number = np.zeros(len(c), np.int32)
@@ -217,14 +241,37 @@ def _blocks(least: int, gap_cost: float):
     return run
 
 
-def shared_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gap_cost: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _one_partner(windows: DataFrame) -> DataFrame:
+    """(c, partner, p, q, n): each window with the first or the last class that holds it."""
+    place = F.struct("c", "p")
+    ends = windows.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a.c < b.c")
+    other = F.when(F.col("c") == F.col("a.c"), F.col("b")).otherwise(F.col("a"))
+    return windows.join(ends, ["h", "g"]).select("c", "p", other.alias("o")).select("c", F.col("o.c").alias("partner"), "p", F.col("o.p").alias("q"), F.lit(1).alias("n"))
+
+
+def _all_partners(windows: DataFrame) -> DataFrame:
+    """(c, partner, p, q, n): each stretch of windows with every place in every later class that holds it.
+
+    A window whose next character is the same wherever it occurs is always followed by the same window; if that
+    one's character before is always the same too, the two have the same holders and are matched as one.
+    """
+    same = lambda x: (F.min(x) >= 0) & (F.min(x) == F.max(x))
+    shared = windows.groupBy("h", "g").agg(F.min("c").alias("a"), F.max("c").alias("b"), same("before").alias("left"), same("after").alias("right")).where("a < b")
+    links = windows.select("h", "g", "c", "p").join(shared.select("h", "g", "left", "right"), ["h", "g"])
+    parts = cut_lineage(links.repartition("c").sortWithinPartitions("c", "p").mapInArrow(per_groups(_stretches, ["c"], _STRETCH), "h bigint, g bigint, c bigint, p int, n int"))
+    others = parts.select("h", "g", F.col("c").alias("partner"), F.col("p").alias("q"))
+    return parts.join(others, ["h", "g"]).where("c < partner").select("c", "partner", "p", "q", "n")
+
+
+def shared_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gap_cost: float = 0.5, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, blocks), the operator's result.
 
     * members (key, h): the rows' class.
     * classes (c, h, t, copies): per distinct text of at least ``least`` characters its smallest key, digest, text and
       whether another key has the same text.
     * blocks (c, partner, p, q, n, chain): n consecutive windows of ``least`` characters from character p of class c that
-      occur from character q of class ``partner``, numbered by chain within (c, partner).
+      occur from character q of class ``partner``, numbered by chain within (c, partner). Each window has one partner; with
+      ``every`` all classes that hold it, for c < partner only, as the other half mirrors it.
 
     Keys are bigint and unique apart from repeated rows, which count once. Null keys, null and empty texts and texts
     shorter than ``least`` share nothing. Texts of any length are taken whole; other columns are ignored.
@@ -237,16 +284,12 @@ def shared_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     seeds = cut_lineage(classes.select("c", "t").mapInArrow(_seeds(least), "h bigint, c bigint, p int"))
     common = seeds.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("h")
     kept = seeds.join(common, "h").groupBy("c").agg(F.collect_list("p").alias("ps"))  # at most the text's length
-    windows = cut_lineage(classes.select("c", "t").join(kept, "c").select("c", "t", "ps").mapInArrow(_windows(least), "h bigint, g bigint, c bigint, p int"))
-
-    place = F.struct("c", "p")
-    ends = windows.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a.c < b.c")
-    other = F.when(F.col("c") == F.col("a.c"), F.col("b")).otherwise(F.col("a"))
-    anchors = windows.join(ends, ["h", "g"]).select("c", "p", other.alias("o")).select("c", F.col("o.c").alias("partner"), "p", F.col("o.p").alias("q"))
+    around = ", before int, after int" if every else ""
+    windows = cut_lineage(classes.select("c", "t").join(kept, "c").select("c", "t", "ps").mapInArrow(_windows(least, every), "h bigint, g bigint, c bigint, p int" + around))
+    anchors = _all_partners(windows) if every else _one_partner(windows)
     blocks = (
-        anchors.repartition("c").sortWithinPartitions("c")
-        .mapInArrow(per_groups(_blocks(least, gap_cost), ["c"], _BLOCK), "c bigint, partner bigint, p int, q int, n int, chain int")
-    )
+        anchors.repartition("c", "partner").sortWithinPartitions("c", "partner") if every else anchors.repartition("c").sortWithinPartitions("c")
+    ).mapInArrow(per_groups(_blocks(least, gap_cost), ["c", "partner"] if every else ["c"], _BLOCK), "c bigint, partner bigint, p int, q int, n int, chain int")
     return d.select(F.col("k").alias(key), "h").distinct(), classes, cut_lineage(blocks)
 
 
@@ -294,21 +337,18 @@ def passages(result: tuple[DataFrame, DataFrame, DataFrame], least: int = LEAST)
     """(c, partner, first_char, last_char, partner_first, partner_last, exact_chars, edits): one row per chain.
 
     ``edits`` is the edit distance of the texts between the chain's blocks, by aligning each gap. Chains link classes
-    of equal texts; a class has one row per partner its windows were matched with, not one per record that holds them.
+    of equal texts; a class has one row per partner its windows were matched with: see ``every`` of :func:`shared_blocks`.
     """
     _, classes, blocks = result
     size = F.col("n") + least - 1
     chains = blocks.groupBy("c", "partner", "chain").agg(
         F.min("p").alias("first_char"), F.max(F.col("p") + size - 1).alias("last_char"), F.min("q").alias("partner_first"), F.max(F.col("q") + size - 1).alias("partner_last"),
-        F.sum(size).alias("exact_chars"), F.array_sort(F.collect_list(F.struct("p", "q", size.alias("n")))).alias("parts"),
+        F.sum(size).alias("exact_chars"),
     )
     texts = classes.select("c", "t")
     pair = lambda c, a, b: F.substring(c, a + 1, F.greatest(b - a, F.lit(0)))
-    gaps = (
-        chains.where(F.size("parts") > 1)
-        .select("c", "partner", "chain", F.posexplode(F.arrays_zip(F.slice("parts", 1, F.size("parts") - 1).alias("x"), F.slice("parts", 2, F.size("parts") - 1).alias("y"))).alias("i", "z"))
-        .select("c", "partner", "chain", (F.col("z.x.p") + F.col("z.x.n")).alias("pa"), F.col("z.y.p").alias("pb"), (F.col("z.x.q") + F.col("z.x.n")).alias("qa"), F.col("z.y.q").alias("qb"))
-    )
+    w = Window.partitionBy("c", "partner", "chain").orderBy("p", "q")
+    gaps = blocks.select("c", "partner", "chain", (F.col("p") + size).alias("pa"), F.lead("p").over(w).alias("pb"), (F.col("q") + size).alias("qa"), F.lead("q").over(w).alias("qb")).where("pb is not null")
     gaps = gaps.join(texts, "c").withColumn("s", pair(F.col("t"), F.col("pa"), F.col("pb"))).drop("t")
     gaps = gaps.join(texts.select(F.col("c").alias("partner"), "t"), "partner").withColumn("o", pair(F.col("t"), F.col("qa"), F.col("qb"))).drop("t")
 
@@ -317,4 +357,15 @@ def passages(result: tuple[DataFrame, DataFrame, DataFrame], least: int = LEAST)
         return pd.Series([edit_distance(x, y) for x, y in zip(a, b)])
 
     edits = gaps.withColumn("e", distance("s", "o")).groupBy("c", "partner", "chain").agg(F.sum("e").alias("edits"))
-    return chains.drop("parts").join(edits, ["c", "partner", "chain"], "left").fillna(0, ["edits"]).drop("chain")
+    return chains.join(edits, ["c", "partner", "chain"], "left").fillna(0, ["edits"]).drop("chain")
+
+
+def linked_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gap_cost: float = 0.5) -> DataFrame:
+    """:func:`passages` of every two classes that share a window of ``least`` characters, one row per chain and direction.
+
+    The rows grow with the number of pairs, so with the square of the number of texts that hold one passage.
+    """
+    one = passages(shared_blocks(df, key, text, least, gap_cost, every=True), least)
+    turned = {"c": "partner", "partner": "c", "first_char": "partner_first", "last_char": "partner_last", "partner_first": "first_char", "partner_last": "last_char"}
+    both = F.array(F.struct(*one.columns), F.struct(*[F.col(turned.get(x, x)).alias(x) for x in one.columns]))
+    return one.select(F.inline(both))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from phonoduct.llm import spans
-from phonoduct.llm.spans import Fenwick, chain, coverage, edit_distance, passages, shared_blocks, shared_runs
+from phonoduct.llm.spans import Fenwick, chain, coverage, edit_distance, linked_passages, passages, shared_blocks, shared_runs
 
 SCHEMA = "doc_id bigint, text string, h string, c int"
 
@@ -82,6 +82,32 @@ def test_passages_go_on_over_small_edits(spark):
     assert (x.first_char, x.last_char, x.partner_first, x.partner_last, x.edits) == (0, 399, 30, 428, 3) and x.exact_chars == 397
 
 
+def test_three_versions_are_all_linked(spark):
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefghijklmnop ") for _ in range(300))
+    texts = {1: base, 2: base[:100] + "##" + base[100:], 3: base[:200] + "#" + base[201:]}
+    got = {(x.c, x.partner): x.edits for x in linked_passages(frame(spark, texts)).collect()}
+    assert got == {(1, 2): 2, (2, 1): 2, (1, 3): 1, (3, 1): 1, (2, 3): 3, (3, 2): 3}
+
+
+@pytest.mark.parametrize("segment", [1_000_000, 150])
+def test_every_pair_with_a_shared_window_is_linked(spark, monkeypatch, segment):
+    monkeypatch.setattr(spans, "SEGMENT", segment)
+    texts = corpus(segment)
+    first = {}
+    for k, t in texts.items():
+        first.setdefault(t, k)
+    where = {}
+    for t, k in first.items():
+        for i in range(len(t or "") - 63):
+            where.setdefault(t[i : i + 64], set()).add((k, i))
+    want = {(a, p, b, q) for w in where.values() for a, p in w for b, q in w if a < b}
+    _, _, blocks = shared_blocks(frame(spark, texts), every=True)
+    got = [(b.c, b.p + i, b.partner, b.q + i) for b in blocks.collect() for i in range(b.n)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(x.c, x.partner) for x in linked_passages(frame(spark, texts)).collect()} == {p for a, _, b, _ in want for p in ((a, b), (b, a))}
+
+
 def test_chains_are_best_and_cover_all_blocks():
     p, q, n = np.array([0, 100, 210, 50]), np.array([0, 105, 215, 500]), np.array([80, 90, 80, 70])
     assert chain(p, q, n, 0.5).tolist()[:3] == [0, 0, 0] and chain(p, q, n, 0.5)[3] != 0
