@@ -24,6 +24,11 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("series_id", "idx", "v")
 
 
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of several components: (series_id, idx, v array<double>)."""
+    return table(spark, d, "series_frames").select("series_id", "idx", "v")
+
+
 def source(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """The events of one type as a series per user."""
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1

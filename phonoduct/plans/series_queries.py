@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from phonoduct.operators import f0
 from phonoduct.operators import series as S
-from phonoduct.plans.inputs import EVENTS, PITCH, SOURCES, WEIGHTED, events, pitch, series, source, weighted
+from phonoduct.plans.inputs import EVENTS, PITCH, SOURCES, WEIGHTED, events, frames, pitch, series, source, weighted
 
 KEYPOINTS = (0.1, 0.25, 0.6)
 QUERIES, SQL = {}, {}
@@ -109,9 +109,21 @@ def h2b_split_local(spark, d):
 
 @query("c4_all_same", "with " + EVENTS + " select series_id, min(cast(v as bigint) // 250) = max(cast(v as bigint) // 250) same from e where idx < 4 group by 1")
 def c4_all_same(spark, d):
+    """The first four frames only, as in the SQL; :func:`c4_all_same_whole` and :func:`c4_all_same_frames` take whole series."""
     return S.all_same(series(spark, d).where("idx < 4").withColumn("v", F.floor(F.rint("v") / 250)))
 
 
+@query("c4_all_same_whole", "with " + EVENTS + " select series_id, count(distinct cast(v as bigint) // 250) = 1 and count(v) = count(*) same from e group by 1")
+def c4_all_same_whole(spark, d):
+    return S.all_same(series(spark, d).withColumn("v", F.floor(F.rint("v") / 250)))
+
+
+@query("c4_all_same_frames", "select series_id, count(distinct v) = 1 and count(v) = count(*) same from series_frames group by 1")
+def c4_all_same_frames(spark, d):
+    """Frames of one to three components as they are stored."""
+    return S.all_same(frames(spark, d))
+
+
 @query("c5_drop_constant", "with " + EVENTS + """, s as (select series_id, case when idx < 2 then 0 when idx < 4 then 1 else 2 end segment, case when v > 60 then 1e0 else 0e0 end v from e)
 select series_id, segment, count(*) n from s group by 1, 2 having min(v) <> max(v)""")
 def c5_drop_constant(spark, d):

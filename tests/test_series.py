@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from phonoduct.operators import f0, series as S
 from phonoduct.operators.series import AlignmentError
+from phonoduct.plans import series_queries as Q
 
 LONG = "series_id string, idx bigint, v double"
 
@@ -60,6 +61,15 @@ def test_constant_series_and_edges(spark, rows):
     assert [(r.padding, r.problem) for r in S.edge_value(d).orderBy("series_id").collect()] == [(0.0, None), (None, "the edges differ")]
 
 
+def test_series_that_differ_after_the_fourth_frame_are_not_same(spark, rows, tmp_path):
+    e = [(i, user, 1000.0 if user == 2 and i == 9 else 10.0) for user in (1, 2) for i in range(10)]
+    spark.createDataFrame(e, "event_id bigint, user_id bigint, value double").selectExpr("*", "timestamp_seconds(event_id) ts", "'view' event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(Q.QUERIES["c4_all_same_whole"](spark, str(tmp_path)), "series_id", "same") == [("1", True), ("2", False)]
+    f = [("a", i, [1.0, 2.0]) for i in range(6)] + [("b", i, [1.0, 2.0 + (i == 5)]) for i in range(6)]
+    spark.createDataFrame(f, "series_id string, idx bigint, v array<double>").write.parquet(f"{tmp_path}/series_frames.parquet")
+    assert rows(Q.QUERIES["c4_all_same_frames"](spark, str(tmp_path)), "series_id", "same") == [("a", True), ("b", False)]
+
+
 def test_frames(spark):
     x = [1, 5, 2, 8, 3, 9]
     f = S.framed(long(spark, a=x), 4, 2, True, 0.0, ("min", "max", "mean", "median")).orderBy("idx").collect()
