@@ -1,6 +1,7 @@
 """Regularly sampled series in long form (series_id, idx, v) and packed form (series_id, rate, array).
 
-Time is implied: frame idx of a series of rate r lies at idx / r seconds. v is a double unless said.
+Time is implied: frame idx of a series of rate r lies at idx / r seconds. v is a double unless said; framed,
+resample_linear and collect also take arrays, a component at a time.
 """
 
 from __future__ import annotations
@@ -36,6 +37,16 @@ def lengths(df: DataFrame) -> DataFrame:
     return df.groupBy(KEY).agg((F.max("idx") + 1).alias("n"))
 
 
+def has_parts(df: DataFrame) -> bool:
+    """Whether frames are arrays of components."""
+    return dict(df.dtypes)["v"].startswith("array")
+
+
+def widths(df: DataFrame) -> DataFrame:
+    """(series_id, width): most components of a frame."""
+    return df.groupBy(KEY).agg(F.coalesce(F.max(F.when(F.col("v").isNotNull(), F.size("v"))), F.lit(0)).alias("width"))
+
+
 def stem(path: Column) -> Column:
     """File name without folder and suffix, the identity of a series read from a file."""
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
@@ -59,11 +70,11 @@ def wrap_arrays(df: DataFrame, array: str, rate: float | None = None, frame_seco
 
 # ---------------------------------------------------------------- resampling
 
-def resample_nearest(df: DataFrame, source: float, target: float, index: int = 0, length: int | None = None, phase: float = 0.0) -> DataFrame:
+def resample_nearest(df: DataFrame, source: float, target: float, index: int = 0, length: int | Column | None = None, phase: float = 0.0) -> DataFrame:
     """Frame k of the result is frame int((phase + index + k) * source / target); int(n / source * target) frames by default.
 
     Each source frame produces the result frames that show it, so no join is needed. ``phase`` in [0, 1) is fixed for
-    all series, which keeps results reproducible.
+    all series, which keeps results reproducible. ``length`` may be a column made of n.
     """
     shift, step = phase + index, source / target
     n = lengths(df).select(KEY, F.lit(length).cast("bigint").alias("m") if length is not None else (F.col("n") / source * target).cast("bigint").alias("m"))
@@ -79,7 +90,7 @@ def resample_nearest(df: DataFrame, source: float, target: float, index: int = 0
 def resample_linear(df: DataFrame, source: float, target: float, index: int = 0, length: int | None = None) -> DataFrame:
     """Values at (index + k) * source / target by linear interpolation, extrapolated beyond the last frame.
 
-    A series of one frame stays constant.
+    A series of one frame stays constant. Components of an array are interpolated each for itself.
     """
     step = source / target
     n = lengths(df).select(KEY, "n", F.lit(length).cast("bigint").alias("m") if length is not None else (F.col("n") / source * target).cast("bigint").alias("m"))
@@ -91,7 +102,9 @@ def resample_linear(df: DataFrame, source: float, target: float, index: int = 0,
     at = lambda k: (k + F.lit(index)) * F.lit(float(source)) / F.lit(float(target))
     own = F.filter(F.when(last >= first, F.sequence(first, last)), lambda k: F.when(final, at(k) >= F.col("idx")).otherwise(F.floor(at(k)) == F.col("idx")))
     d = d.select(KEY, "idx", "v", "w", F.explode(own).alias("k"))
-    return d.select(KEY, F.col("k").alias("idx"), (F.col("v") + (at(F.col("k")) - F.col("idx")) * F.coalesce(F.col("w") - F.col("v"), F.lit(0.0))).alias("v"))
+    between = lambda a, b: a + (at(F.col("k")) - F.col("idx")) * F.coalesce(b - a, F.lit(0.0))
+    v = F.zip_with("v", F.coalesce("w", "v"), between) if has_parts(df) else between(F.col("v"), F.col("w"))
+    return d.select(KEY, "k", v.alias("v")).withColumnRenamed("k", "idx")  # an alias idx would be meant within the lambda
 
 
 # ---------------------------------------------------------------- splitting and padding
@@ -175,23 +188,33 @@ def framed(df: DataFrame, frame_length: int, hop: int, centering: bool = False,
 
     With ``centering`` both ends are padded by frame_length // 2 values first. Incomplete frames at the end are
     dropped; a series shorter than a frame has none. Each value goes to the frames that hold it; partial
-    aggregation adds them up before the shuffle.
+    aggregation adds them up before the shuffle. Of arrays each component is taken for itself and the columns are arrays.
     """
     if centering and padding_value is None:
         raise ValueError("centering needs a padding value")
     pad = frame_length // 2 if centering else 0
     n = lengths(df)
+    parts = has_parts(df)
+    by = [KEY, "part"] if parts else [KEY]
     d = df.select(KEY, (F.col("idx") + pad).alias("j"), "v")
+    if parts:
+        w = widths(df)
+        full = F.zip_with(F.coalesce("v", F.array().cast("array<double>")), F.array_repeat(F.lit(0), F.col("width")), lambda x, _: x.cast("double"))  # null where a component is missing
+        d = d.join(w, KEY).select(KEY, "j", F.posexplode(full).alias("part", "v"))
+        n = n.join(w.where("width > 0"), KEY).select(KEY, "n", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("part"))
     if pad:
         ends = F.concat(F.sequence(F.lit(0), F.lit(pad - 1)).cast("array<bigint>"), F.sequence(F.col("n") + pad, F.col("n") + 2 * pad - 1))
-        d = d.unionByName(n.select(KEY, F.explode(ends).alias("j"), F.lit(float(padding_value)).alias("v")))
+        d = d.unionByName(n.select(*by, F.explode(ends).alias("j"), F.lit(float(padding_value)).alias("v")))
     count = F.floor((F.col("n") + 2 * pad - frame_length) / hop) + 1
-    d = d.join(n.select(KEY, count.cast("bigint").alias("count")), KEY)
+    d = d.join(n.select(*by, count.cast("bigint").alias("count")), by)
     first = F.greatest(F.ceil((F.col("j") - frame_length + 1) / F.lit(hop)), F.lit(0)).cast("bigint")
     last = F.least(F.floor(F.col("j") / F.lit(hop)), F.col("count") - 1).cast("bigint")
-    d = d.where(first <= last).select(KEY, F.explode(F.sequence(first, last)).alias("idx"), "v")
+    d = d.where(first <= last).select(*by, F.explode(F.sequence(first, last)).alias("idx"), "v")
     kind = {"min": F.min, "max": F.max, "mean": F.avg, "median": lambda c: F.percentile(c, 0.5)}
-    return d.groupBy(KEY, "idx").agg(*[kind[k]("v").alias(k) for k in kinds])
+    out = d.groupBy(*by, "idx").agg(*[kind[k]("v").alias(k) for k in kinds])
+    if parts:
+        out = out.groupBy(KEY, "idx").agg(F.array_sort(F.collect_list(F.struct("part", *kinds))).alias("s")).select(KEY, "idx", *[F.col(f"s.{k}").alias(k) for k in kinds])
+    return out
 
 
 # ---------------------------------------------------------------- alignment of sources
@@ -214,7 +237,7 @@ def length_spread(sources: Sequence[DataFrame], rate: float, tolerance: float) -
 
 
 def collect(sources: Sequence[tuple[DataFrame, float]], rate: float, mode: str = "min", error_time_length: float | None = None, keys: str = "inner") -> DataFrame:
-    """(series_id, idx, v array<float>): sources (frames, rate) resampled to one rate (nearest) and set side by side.
+    """(series_id, idx, v array<float>): sources (frames, rate) resampled to one rate (nearest) and set side by side, all their components.
 
     ``mode`` is a policy of length: ``min`` ends with the shortest source, ``max`` pads with zeros to the longest, ``first``
     pads or cuts to the first. ``keys``: ``inner`` takes the series all sources hold, ``strict`` raises if they differ.
@@ -222,7 +245,7 @@ def collect(sources: Sequence[tuple[DataFrame, float]], rate: float, mode: str =
     """
     if keys == "strict":
         check_same_keys([s for s, _ in sources])
-    parts = [resample_nearest(s, r, rate) for s, r in sources]
+    parts = [resample_nearest(s, r, rate, length=F.col("n") * rate / F.lit(r)) for s, r in sources]  # not n / r * rate, which loses the last of 29 frames at 100
     common = reduce(lambda a, b: a.join(b, KEY, "left_semi"), [p.select(KEY).distinct() for p in parts])
     if error_time_length is not None:
         odd = length_spread([p.join(common, KEY, "left_semi") for p in parts], rate, error_time_length).limit(5).collect()
@@ -233,7 +256,14 @@ def collect(sources: Sequence[tuple[DataFrame, float]], rate: float, mode: str =
     for i, p in enumerate(parts[1:], 1):
         out = out.join(p.withColumnRenamed("v", f"v{i}"), [KEY, "idx"], how)
     out = out.join(common, KEY, "left_semi")
-    return out.select(KEY, "idx", F.array(*[F.coalesce(f"v{i}", F.lit(0.0)).cast("float") for i in range(len(parts))]).alias("v"))
+    sides = []
+    for i, p in enumerate(parts):
+        if has_parts(p):
+            out = out.join(widths(p).withColumnRenamed("width", f"w{i}"), KEY)
+            sides.append(F.zip_with(F.coalesce(f"v{i}", F.array().cast(dict(p.dtypes)["v"])), F.array_repeat(F.lit(0.0), F.col(f"w{i}")), lambda x, zero: F.coalesce(x.cast("float"), zero.cast("float"))))
+        else:
+            sides.append(F.array(F.coalesce(F.col(f"v{i}").cast("float"), F.lit(0.0).cast("float"))))
+    return out.select(KEY, "idx", F.concat(*sides).alias("v"))
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, left_key: str, right_key: str, strict: bool = True) -> DataFrame:

@@ -29,6 +29,16 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "series_frames").select("series_id", "idx", "v")
 
 
+def dense_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frames that arrived, repeated ones once, numbered anew in order of idx."""
+    f = frames(spark, d).groupBy("series_id", "idx").agg(F.min("v").alias("v"))
+    return f.withColumn("idx", (F.row_number().over(Window.partitionBy("series_id").orderBy("idx")) - 1).cast("bigint"))
+
+
+FRAMES = """e as (select series_id, row_number() over (partition by series_id order by idx) - 1 idx, v from (select series_id, idx, min(v) v from series_frames group by 1, 2)),
+n as (select series_id, count(*) n, coalesce(max(len(v)), 0) w from e group by 1)"""
+
+
 def source(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """The events of one type as a series per user."""
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1

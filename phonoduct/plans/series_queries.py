@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from phonoduct.operators import f0
 from phonoduct.operators import series as S
-from phonoduct.plans.inputs import EVENTS, PITCH, SOURCES, WEIGHTED, events, frames, pitch, series, source, weighted
+from phonoduct.plans.inputs import EVENTS, FRAMES, PITCH, SOURCES, WEIGHTED, dense_frames, events, frames, pitch, series, source, weighted
 
 KEYPOINTS = (0.1, 0.25, 0.6)
 QUERIES, SQL = {}, {}
@@ -47,6 +47,18 @@ def f1_framed(spark, d):
     return S.framed(series(spark, d), 8, 4, kinds=("min", "max", "mean", "median")).select("series_id", "idx", "min", "max", *_r("mean"), "median")
 
 
+@query("f1_framed_parts", "with " + FRAMES + """,
+q as (select series_id, n, unnest(range(0, w)) part from n),
+p as (select series_id, part, idx + 4 j, v[part + 1] v from e join q using (series_id) union all select series_id, part, unnest(range(0, 4)), 0.0 from q union all select series_id, part, unnest(range(n + 4, n + 8)), 0.0 from q),
+f as (select series_id, part, unnest(range(0, n // 4 + 1)) k from q)
+select f.series_id, k as idx, cast(f.part as integer) part, min(v) as "min", max(v) as "max", round(avg(v), 6) as mean, median(v) as median
+from f join p on f.series_id = p.series_id and f.part = p.part and j >= k * 4 and j < k * 4 + 8 group by 1, 2, 3""")
+def f1_framed_parts(spark, d):
+    kinds = ("min", "max", "mean", "median")
+    f = S.framed(dense_frames(spark, d), 8, 4, True, 0.0, kinds)
+    return f.select("series_id", "idx", F.posexplode(F.arrays_zip(*kinds)).alias("part", "s")).select("series_id", "idx", "part", "s.min", "s.max", F.round("s.mean", 6).alias("mean"), "s.median")
+
+
 @query("f6_resample_nearest", "with " + EVENTS + """,
 k as (select series_id, unnest(range(0, cast(floor(n / 1e2 * 150e0) as bigint))) k from n)
 select k.series_id, k as idx, v from k join e on k.series_id = e.series_id and e.idx = cast(floor(k * 1e2 / 150e0) as bigint)""")
@@ -69,6 +81,19 @@ def f7_resample_linear(spark, d):
     return S.resample_linear(series(spark, d), 100, 48).select("series_id", "idx", *_r("v"))
 
 
+_PARTS = "round({0}[1], 6) v0, round({0}[2], 6) v1, round({0}[3], 6) v2"
+
+
+@query("f7_resample_linear_parts", "with " + FRAMES + """,
+k as (select series_id, n, unnest(range(0, cast(floor(n / 1e2 * 48e0) as bigint))) k from n),
+x as (select *, k * 1e2 / 48e0 t, greatest(least(cast(floor(k * 1e2 / 48e0) as bigint), n - 2), 0) i from k),
+y as (select x.series_id, k as idx, list_transform([1, 2, 3], lambda c: a.v[c] + (t - i) * coalesce(b.v[c] - a.v[c], 0)) v from x join e a on x.series_id = a.series_id and a.idx = i left join e b on x.series_id = b.series_id and b.idx = i + 1)
+select series_id, idx, """ + _PARTS.format("v") + " from y")
+def f7_resample_linear_parts(spark, d):
+    r = S.resample_linear(dense_frames(spark, d), 100, 48)
+    return r.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+
+
 # ------------------------------------------------------------- splitting
 _SPLIT = "with " + EVENTS + """,
 s as (select series_id, idx, v, case when idx < 10 then 0 when idx < 25 then 1 when idx < 60 then 2 else 3 end segment from e),
@@ -172,6 +197,20 @@ def _collect(spark, d, mode):
     return c.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)).cast("double"), 2).alias(f"v{i}") for i in range(2)])
 
 
+@query("d5_collect_parts", "with " + FRAMES + """,
+b as (select series_id, idx // 3 idx, v from e where idx % 3 = 0),
+m as (select series_id, coalesce(max(len(v)), 0) u from b group by 1),
+x as (select e.series_id, e.idx, list_concat(list_transform(range(1, w + 1), lambda i: coalesce(e.v[i], 0)), list_transform(range(1, u + 1), lambda i: coalesce(b.v[i], 0))) v
+  from e join n using (series_id) join m on m.series_id = e.series_id left join b on b.series_id = e.series_id and b.idx = e.idx)
+select series_id, idx, """ + ", ".join(f"round(cast(cast(v[{i + 1}] as float) as double), 4) v{i}" for i in range(6)) + " from x")
+def d5_collect_parts(spark, d):
+    """Frames of one to three components beside every third of them, which ends early."""
+    f = dense_frames(spark, d)
+    third = f.where("idx % 3 = 0").withColumn("idx", F.floor(F.col("idx") / 3).cast("bigint"))
+    c = S.collect([(f, 100), (third, 100)], 100, "max")
+    return c.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(6)])
+
+
 @query("d5_length_spread", f"with {SOURCES}, {_LEN} select series_id, least(na, nb) shortest, greatest(na, nb) longest, abs(na - nb) / 1e2 as seconds from k join m using (series_id) where abs(na - nb) / 1e2 > 0.015")
 def d5_length_spread(spark, d):
     return S.length_spread([source(spark, d, "view"), source(spark, d, "click")], 100, 0.015)

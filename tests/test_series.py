@@ -61,6 +61,21 @@ def test_constant_series_and_edges(spark, rows):
     assert [(r.padding, r.problem) for r in S.edge_value(d).orderBy("series_id").collect()] == [(0.0, None), (None, "the edges differ")]
 
 
+def test_components_are_taken_each_for_itself(spark):
+    x = np.array([[0, 9], [4, 1], [2, 5], [8, 3]], float)
+    d = spark.createDataFrame([("a", i, [float(v) for v in r]) for i, r in enumerate(x)], "series_id string, idx bigint, v array<float>")
+    kinds = ("min", "max", "mean", "median")
+    got = S.framed(d, 2, 1, True, 0.0, kinds).orderBy("idx").collect()
+    padded = np.vstack([np.zeros((1, 2)), x, np.zeros((1, 2))])
+    want = np.stack([padded[:-1], padded[1:]], 1)
+    assert [[r[k] for k in kinds] for r in got] == [[getattr(np, k)(w, 0).tolist() for k in kinds] for w in want]
+    assert values(S.resample_linear(d, 100, 200)) == [[0, 9], [2, 5], [4, 1], [3, 3], [2, 5], [5, 4], [8, 3], [11, 2]]
+    one = long(spark, a=[7, 6])
+    assert values(S.collect([(d, 100), (one, 100)], 100, "max")) == [[0, 9, 7], [4, 1, 6], [2, 5, 0], [8, 3, 0]]
+    assert values(S.collect([(one, 100), (d, 100)], 100, "min")) == [[7, 0, 9], [6, 4, 1]]
+    assert values(S.collect([(d, 100), (d.where("idx < 1"), 100)], 100, "first"))[1] == [4, 1, 0, 0]
+
+
 def test_series_that_differ_after_the_fourth_frame_are_not_same(spark, rows, tmp_path):
     e = [(i, user, 1000.0 if user == 2 and i == 9 else 10.0) for user in (1, 2) for i in range(10)]
     spark.createDataFrame(e, "event_id bigint, user_id bigint, value double").selectExpr("*", "timestamp_seconds(event_id) ts", "'view' event_type").write.parquet(f"{tmp_path}/events.parquet")
