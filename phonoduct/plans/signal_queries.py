@@ -73,6 +73,17 @@ def i10_f0_range(spark, d):
     return f0_range.find_range(packed(spark, d), max_num=20, num_loop=2, target_duration=4)
 
 
+@query("i10_f0_range_defaults")
+def i10_f0_range_defaults(spark, d):
+    """With the defaults (100 waves, 10 rounds, groups of 180 s), over waves of half a second whose pitch lies at 125 to 200 Hz.
+
+    The waves of :func:`packed` all have one pitch, to which the range narrows until no frame is left.
+    """
+    period = (F.lit(40) + F.pmod("vec_id", F.lit(25))).cast("int")
+    e = table(spark, d, "embeddings").select(F.format_string("%08d", "vec_id").alias("series_id"), F.lit(RATE).alias("sampling_rate"), F.slice(F.flatten(F.array_repeat(F.slice("embedding", F.lit(1), period), RATE // 80)), 1, RATE // 2).alias("samples"))
+    return f0_range.find_range(e)
+
+
 @query("k1_framed_stats", """with w as (select user_id, value, unnest(range(0, 4)) i, ts from events),
 s as (select user_id, value, time_bucket(interval 15 minute, ts) - i * interval 15 minute as "start" from w)
 select user_id, "start", count(*) n, min(value) as "min", max(value) as "max", round(avg(value), 6) mean from s group by 1, 2""")

@@ -107,6 +107,17 @@ def test_range_finder(spark):
         f0_range.check_rates(d.union(packed(spark, 16_000, x=[0.0])))
 
 
+def test_range_finder_is_registered_with_its_defaults(spark, monkeypatch, tmp_path):
+    from phonoduct.plans import signal_queries as Q
+
+    spark.createDataFrame([(k, [float(i) for i in range(64)]) for k in range(30)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    calls = []
+    monkeypatch.setattr(f0_range, "find_range", lambda waves, **given: calls.append((waves.selectExpr("size(samples) n", "samples[40] = samples[0] short").distinct().collect(), given)))
+    Q.QUERIES["i10_f0_range_defaults"](spark, str(tmp_path))
+    (got, given), = calls
+    assert given == {} and {r.n for r in got} == {4000} and {r.short for r in got} == {True, False}
+
+
 def test_corpus_silence(spark):
     loud, quiet = sine(50, 1, 1000), np.zeros(1000)
     d = long(spark, a=np.concatenate([loud, quiet]), b=np.concatenate([quiet, loud]))
