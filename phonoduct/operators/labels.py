@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -247,49 +247,53 @@ def silence_runs(mask: DataFrame, rate: float, key: str = UTT) -> DataFrame:
     return part.groupBy(key, "run").agg((F.min("a") / F.lit(float(rate))).alias("start_s"), (F.max("z") / F.lit(float(rate))).alias("end_s")).drop("run")
 
 
-def stretch(labels: list[tuple[str, float, float]], silences: list[tuple[float, float]], space: str, minimum: float) -> list[tuple[str, float, float]]:
-    """Move the edges of space labels to silences that reach over them.
+def move_sides(sides: list[float], spaces: Iterable[int], silences: Iterable[tuple[float, float]], minimum: float) -> list[float]:
+    """The sides of labels (label i lies from side i to side i + 1), those of ``spaces`` moved out to the silences they lie in.
 
-    For each silence in order and each space label: a start inside the silence moves to the silence's start, but leaves
-    the label before at least ``minimum`` (which moves the silence's start for what follows); an end inside it likewise.
+    A left side moves back to its silence's start, but stays ``minimum`` after the side before it; a right side moves on
+    to its silence's end, but stays ``minimum`` before the side after it. Where a side had to stay, the silence ends
+    there for the spaces after it. Spaces and silences, which lie apart, are in order of time, so one walk meets each silence
+    next to the few sides it can hold.
     """
-    names, start, end = [x[0] for x in labels], [x[1] for x in labels], [x[2] for x in labels]
-    last = len(names) - 1
-    for s, e in silences:
-        for i in range(last + 1):
-            if names[i] != space:
-                continue
-            if s < start[i] <= e:
-                if i:
-                    s = max(s, start[i - 1] + minimum)
-                    end[i - 1] = s
-                start[i] = s
-            if s <= end[i] < e:
-                if i < last:
-                    e = min(e, end[i + 1] - minimum)
-                    start[i + 1] = e
-                end[i] = e
-    return list(zip(names, start, end))
+    at, quiet, passed = list(sides), [list(q) for q in silences], 0
+    for i in spaces:
+        while passed < len(quiet) and quiet[passed][1] < at[i]:
+            passed += 1
+        j = passed
+        while j < len(quiet) and quiet[j][0] <= max(at[i], at[i + 1]):
+            q = quiet[j]
+            if q[0] < at[i] <= q[1]:
+                at[i] = q[0] = q[0] if i == 0 else max(q[0], at[i - 1] + minimum)
+            if q[0] <= at[i + 1] < q[1]:
+                at[i + 1] = q[1] = q[1] if i + 2 == len(at) else min(q[1], at[i + 2] - minimum)
+            j += 1
+    return at
+
+
+def stretch(labels: list[tuple[str, float, float]], silences: list[tuple[float, float]], space: str, minimum: float) -> list[tuple[str, float, float]]:
+    """:func:`move_sides` for one list of labels (phoneme, start, end) that follow each other without gaps."""
+    if not labels:
+        return []
+    at = move_sides([labels[0][1], *(x[2] for x in labels)], [i for i, x in enumerate(labels) if x[0] == space], silences, minimum)
+    return [(x[0], a, z) for x, a, z in zip(labels, at, at[1:])]
 
 
 def expand_silence(labels: DataFrame, silences: DataFrame, phoneme_type: str = "seg_kit", minimum: float = 0.03) -> DataFrame:
     """Labels with their spaces moved to the silences (utt_id, start_s, end_s) of :func:`silence_runs`, converted before.
 
-    The order of the changes matters, so each utterance is folded as one list.
+    Labels follow each other without gaps, as :func:`verify` makes sure. The order of the moves matters, so each utterance
+    is walked as one list of sides; all else are expressions.
     """
     d = convert(labels, phoneme_type).groupBy(UTT).agg(F.array_sort(F.collect_list(F.struct("pos", "phoneme", "start_s", "end_s"))).alias("l"))
     s = silences.groupBy(UTT).agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s"))).alias("s"))
-    space = SPACE[phoneme_type]
-
-    @F.pandas_udf("array<struct<phoneme: string, start_s: double, end_s: double>>")
-    def fold(l: pd.Series, s: pd.Series) -> pd.Series:  # noqa: E741
-        out = []
-        for a, b in zip(l, s):
-            runs = [(x["start_s"], x["end_s"]) for x in b] if b is not None else []
-            new = stretch([(x["phoneme"], x["start_s"], x["end_s"]) for x in a], runs, space, minimum)
-            out.append([{"phoneme": p, "start_s": x, "end_s": y} for p, x, y in new])
-        return pd.Series(out, dtype=object)
-
-    j = d.join(s, UTT, "left").withColumn("n", fold("l", "s"))
-    rows = F.explode(F.arrays_zip(F.col("l.pos").alias("pos"), F.col("n").alias("x")))
-    return j.select(UTT, rows.alias("z")).select(UTT, "z.pos", "z.x.phoneme", rounded(F.col("z.x.start_s")).alias("start_s"), rounded(F.col("z.x.end_s")).alias("end_s"))
+    spaces = F.filter(F.transform("l.phoneme", lambda p, i: F.when(p == SPACE[phoneme_type], i)), lambda i: i.isNotNull())
+    d = d.join(s, UTT, "left").select(UTT, "l", F.concat(F.slice("l.start_s", 1, 1), "l.end_s").alias("sides"), spaces.alias("spaces"), F.col("s.start_s").alias("a"), F.col("s.end_s").alias("z"))
+
+    @F.pandas_udf("array<double>")
+    def moved(sides: pd.Series, spaces: pd.Series, a: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([move_sides(x, p, () if b is None else zip(b, e), minimum) for x, p, b, e in zip(sides, spaces, a, z)], dtype=object)
+
+    at = F.when(F.size("spaces") == 0, F.col("sides")).otherwise(moved("sides", "spaces", "a", "z"))
+    d = d.select(UTT, "l", F.transform(at, rounded).alias("at"))
+    label = F.transform("l", lambda x, i: F.struct(x["pos"].alias("pos"), x["phoneme"].alias("phoneme"), F.get(F.col("at"), i).alias("start_s"), F.get(F.col("at"), i + 1).alias("end_s")))
+    return d.select(UTT, F.inline(label))

@@ -165,7 +165,24 @@ def f9_silence_runs(spark, d):
     return L.silence_runs(_mask(spark, d), 10)
 
 
-@query("h4_expand_silence")
+@query("h4_expand_silence", _MASK.replace("with ", "with recursive ", 1) + """,
+i as (select *, idx - row_number() over (partition by utt_id order by idx) g from k where silent),
+r as (select utt_id, min(idx) / 1e1 s, max(idx) / 1e1 z from i group by utt_id, g),
+y as (select utt_id, pos, case when pos % 5 = 0 then 'pau' else phoneme end phoneme, start_s, end_s from l),
+p as (select utt_id, pos + 1 i, s, z, row_number() over (partition by utt_id order by s, pos) step from r join y using (utt_id) where phoneme = 'pau'),
+f as (
+  select utt_id, 0::bigint step, list(start_s order by pos) a, list(end_s order by pos) b, -1::double k, 0::double s, 0::double z from y group by 1
+  union all
+  select utt_id, step, case when right_in and i < len(b2) then a2[:i] || [z2] || a2[i + 2:] else a2 end, case when right_in then b2[:i - 1] || [z2] || b2[i + 1:] else b2 end, k, s2, z2
+  from (select *, case when right_in and i < len(b2) then least(z1, b2[i + 1] - 0.03::double) else z1 end z2
+    from (select *, s2 <= b2[i] and b2[i] < z1 right_in
+      from (select *, case when left_in then a1[:i - 1] || [s2] || a1[i + 1:] else a1 end a2, case when left_in and i > 1 then b1[:i - 2] || [s2] || b1[i:] else b1 end b2
+        from (select *, case when left_in and i > 1 then greatest(s1, a1[i - 1] + 0.03::double) else s1 end s2
+          from (select *, s1 < a1[i] and a1[i] <= z1 left_in
+            from (select f.utt_id, p.step, p.i, p.s k, f.a a1, f.b b1, case when f.k = p.s then f.s else p.s end s1, case when f.k = p.s then f.z else p.z end z1
+              from f join p on p.utt_id = f.utt_id and p.step = f.step + 1))))))),
+o as (select utt_id, arg_max(a, step) a, arg_max(b, step) b from f group by 1)
+select utt_id, pos, phoneme, round_even(a[pos + 1], 4) start_s, round_even(b[pos + 1], 4) end_s from y join o using (utt_id)""")
 def h4_expand_silence(spark, d):
     x = labels(spark, d).withColumn("phoneme", F.when(F.col("pos") % 5 == 0, "pau").otherwise(F.col("phoneme")))
     return L.expand_silence(x, L.silence_runs(_mask(spark, d), 10), "openjtalk")

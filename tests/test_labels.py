@@ -102,6 +102,34 @@ def test_stretch_leaves_a_minimum():
     assert new == [("k", 0.3, pytest.approx(0.33)), ("pau", pytest.approx(0.33), 0.6)]
 
 
+def in_any_order_of_lists(names, sides, silences, space, minimum):
+    """The rule as stated: each silence in turn meets each space."""
+    start, end = sides[:-1], sides[1:]
+    for s, z in silences:
+        for i in range(len(names)):
+            if names[i] == space and s < start[i] <= z:
+                s = max(s, start[i - 1] + minimum) if i else s
+                start[i] = s
+                end[i - 1 : i] = [s] * (i > 0)
+            if names[i] == space and s <= end[i] < z:
+                z = min(z, end[i + 1] - minimum) if i + 1 < len(names) else z
+                start[i + 1 : i + 2] = [z] * (i + 1 < len(names))
+                end[i] = z
+    return [*start, end[-1]]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_one_walk_moves_sides_as_the_rule_says(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 30))
+    names = [str(x) for x in r.choice(["a", "pau"], n)]
+    sides = np.round(np.cumsum(np.append(0, 0.03 + r.random(n) * r.choice([0.02, 0.3]))), 3).tolist()
+    cuts = np.unique(np.round(r.random(2 * int(r.integers(0, 12))) * sides[-1], 3)).tolist()  # runs of silence never touch
+    silences = [(a, z) for a, z in zip(cuts[::2], cuts[1::2])]
+    got = L.move_sides(sides, [i for i, x in enumerate(names) if x == "pau"], silences, 0.03)
+    assert got == in_any_order_of_lists(names, list(sides), silences, "pau", 0.03)
+
+
 def test_text_round_trip(spark, rows):
     text = L.as_text(word(spark)).collect()[0].text
     assert text.split("\n")[0] == "0.0000\t0.2500\tsilB" and not text.endswith("\n")
