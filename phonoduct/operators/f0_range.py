@@ -53,17 +53,18 @@ def joined(waves: DataFrame, groups: DataFrame) -> DataFrame:
     return d.select("grp", "sampling_rate", F.flatten("p.samples").alias("samples"))
 
 
-def kept(feats: DataFrame, floor: float, ceil: float) -> DataFrame:
+def kept(feats: DataFrame, floor: float, ceil: float, next_bin: bool = True) -> DataFrame:
     """Voiced frames that are loud enough and whose pitch enough of the volume votes for."""
     d = f0.unit_volume(f0.drop_quiet(feats.where("hz > 0")))
-    return f0.drop_low_votes(d, floor=floor, ceil=ceil)
+    return f0.drop_low_votes(d, floor=floor, ceil=ceil, next_bin=next_bin)
 
 
-def find_range(waves: DataFrame, max_num: int = 100, num_loop: int = 10, target_duration: float = 180, seed: int = 0, floor: float = 40.0, ceil: float = 800.0) -> DataFrame:
+def find_range(waves: DataFrame, max_num: int = 100, num_loop: int = 10, target_duration: float = 180, seed: int = 0, floor: float = 40.0, ceil: float = 800.0, next_bin: bool = True) -> DataFrame:
     """One row of the 13 statistics of ln f0 of at most ``max_num`` evenly spaced waves, after ``num_loop`` rounds.
 
     Each round regroups the waves (seeded), tracks pitch within the range so far and sets the next range to the
-    volume-weighted 0.1 % and 99.9 % points, widened by a tenth. The statistics themselves are unweighted.
+    volume-weighted 0.1 % and 99.9 % points, widened by a tenth. The statistics themselves are unweighted. ``next_bin`` is
+    that of :func:`f0.drop_low_votes`: voices glide, but steady tones leave the bin after theirs empty.
     """
     rate = check_rates(waves)
     chosen = cut_lineage(waves.join(evenly_spaced(waves, KEY, max_num), KEY, "left_semi"))
@@ -71,7 +72,7 @@ def find_range(waves: DataFrame, max_num: int = 100, num_loop: int = 10, target_
     last = None
     for k in range(num_loop):
         feats = cut_lineage(features(joined(chosen, f0.duration_groups(seconds, target_duration, seed + k)).repartition("grp"), floor, ceil))
-        last = kept(feats, floor, ceil)
+        last = kept(feats, floor, ceil, next_bin)
         ends = {r["percent"]: r["value"] for r in f0.weighted_percentiles(last, "hz", "norm_volume", (0.1, 99.9)).collect()}  # two rows
         if len(ends) == 2 and ends[0.1] < ends[99.9]:
             floor, ceil = f0.expand_in_logspace(ends[0.1], ends[99.9], 0.1)
