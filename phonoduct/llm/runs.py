@@ -13,25 +13,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phonoduct.runtime import per_groups
+from phonoduct.runtime import cut_lineage, per_groups
 
 _OUT = pa.schema([("k", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("open", pa.bool_())])
 
 
-def _matrix(v: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Components by row (rows x longest) and the number of each; 0 marks an event that is null, empty or holds a null or NaN."""
+def _flat(v: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(components end to end, where each event's begin, their number); 0 marks an event that is null, empty or holds a null or NaN."""
     v = v.combine_chunks()
     if isinstance(v, pa.ChunkedArray):
         v = pa.concat_arrays(v.chunks)
     size = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.list_flatten(v).to_numpy(zero_copy_only=False).astype(float)
-    m = np.zeros((len(size), int(size.max()) if len(size) else 0))
-    at = np.repeat(np.cumsum(size) - size, size)
-    m[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - at] = flat
-    return m, np.where(np.isnan(m).any(axis=1), 0, size)
+    at = np.cumsum(size) - size
+    odd = np.bincount(np.repeat(np.arange(len(size)), size), np.isnan(flat), len(size)) > 0
+    return flat, at, np.where(odd, 0, size)
 
 
-def _machine(within: float, max_gap: int, block: int):
+def _alike(flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, within: float) -> np.ndarray:
+    """Whether the ``size`` components from a and from b differ by at most ``within`` each."""
+    pair = np.repeat(np.arange(len(size)), size)
+    into = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+    with np.errstate(invalid="ignore"):
+        far = ~(np.abs(flat[a[pair] + into] - flat[b[pair] + into]) <= within)
+    return np.bincount(pair, far, len(size)) == 0
+
+
+def _machine(within: float, max_gap: int, block: int, min_events: int):
     def blocks(t: pa.Table, at: np.ndarray) -> pa.Table:
         idx = t.column("idx").to_numpy()
         first = np.zeros(len(idx), bool)
@@ -39,20 +47,20 @@ def _machine(within: float, max_gap: int, block: int):
         keep = first.copy()
         keep[1:] |= idx[1:] != idx[:-1]
         row = np.flatnonzero(keep)
-        m, size = _matrix(t.column("v"))
-        idx, m, size, first = idx[row], m[row], size[row], first[row]
+        flat, begin, size = _flat(t.column("v"))
+        idx, begin, size, first = idx[row], begin[row], size[row], first[row]
         same = np.zeros(len(row), bool)
         same[1:] = ~first[1:] & (idx[1:] - idx[:-1] <= max_gap) & (size[1:] == size[:-1]) & (size[1:] > 0)
-        with np.errstate(invalid="ignore"):
-            same[1:] &= (np.abs(m[1:] - m[:-1]) <= within).all(axis=1)
+        pair = np.flatnonzero(same)
+        same[pair] = _alike(flat, begin[pair], begin[pair - 1], size[pair], within)
         start = np.flatnonzero(~same & (size > 0))
         end = np.append(np.flatnonzero(~same)[1:], len(row)) - 1
         end = end[size[~same] > 0]
         a, z = idx[start], idx[end]
         b = t.column("block").to_numpy()[row[start]]
         border = (z + max_gap >= (b + 1) * block) | (a < b * block)
-        # an event that only a neighbour's halo brought here is reported by that neighbour
-        mine = z >= b * block
+        # an event that only a neighbour's halo brought here is reported by that neighbour; a short run off the borders is final
+        mine = (z >= b * block) & (border | (z - a + 1 >= min_events))
         return pa.table([t.column("k").take(pa.array(row[start][mine])), pa.array(a[mine]), pa.array(z[mine]), pa.array(border[mine])], schema=_OUT)
 
     return blocks
@@ -76,7 +84,8 @@ def collapse_runs(df: DataFrame, key: str, order: str, value: str, within: float
         .repartition("k", "block")
         .sortWithinPartitions("k", "block", "idx", "v")
     )
-    runs = d.mapInArrow(per_groups(_machine(within, max_gap, block), ["k", "block"], _OUT), "k string, first bigint, last bigint, open boolean")
+    runs = d.mapInArrow(per_groups(_machine(within, max_gap, block, min_events), ["k", "block"], _OUT), "k string, first bigint, last bigint, open boolean")
+    runs = cut_lineage(runs)  # read twice below: the machine must run once
     # at most two runs of a block touch its borders
     w = Window.partitionBy("k").orderBy("first", "last")
     upto = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
