@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoduct.runtime import changes, cut_lineage, per_groups
+from phonoduct.runtime import changes, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,8 @@ def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, bits: int,
     """Digests of all groups at once: (group, node, count) with small siblings moved into their parents."""
     groups = int(group.max()) + 1 if len(group) else 0
     least = np.floor(np.bincount(group, weights=count, minlength=groups) * error / bits).astype(np.int64)
+    if (least <= 1).all():  # no siblings hold fewer values than one
+        return _add(group, node, count)
     level = np.frexp(node.astype(float))[1] - 1
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     g, v, c = (a[:0] for a in (group, node, count))
@@ -111,6 +113,10 @@ def _fields(df: DataFrame, keys: Sequence[str]) -> list[pa.Field]:
     return [pa.field(k, kinds[dict(df.dtypes)[k]]) for k in keys]
 
 
+#: Most nodes of a row between tasks, so that batches of rows stay small however large a digest is.
+PIECE = 512
+
+
 def digests(df: DataFrame, keys: Sequence[str], value: str, unique: Sequence[str] = (), universe: Universe | None = None) -> DataFrame:
     """One digest per key: keys, n, nodes array<int>, counts array<bigint>.
 
@@ -118,32 +124,61 @@ def digests(df: DataFrame, keys: Sequence[str], value: str, unique: Sequence[str
     identify a reading), readings that repeat them, the keys and the value count once. Null keys form a
     group of their own. An empty input gives no digests. Other columns are ignored.
 
-    Readings are spread over tasks by ``unique``, never by key, and each task adds its readings into partial
-    digests batch by batch; partial digests then merge by node addition with partial sums.
+    Readings are spread over tasks by ``unique``, never by key, and each task adds its readings into packed partial
+    digests; these alone are moved by key, where they merge by node addition.
     """
     u = universe or Universe()
     keys, unique = list(keys), list(unique)
     names = {c: f"_u{i}" for i, c in enumerate(unique)}
     d = df.select(*keys, *(F.col(c).alias(n) for c, n in names.items()), F.col(value).cast("double").alias("_x"))
     d = d.where(F.col("_x").between(u.low, u.high))
+    columns = d.columns
     if unique:
+        # keys lie together and repeated readings side by side; almost every comparison ends at this one number
+        place = F.shiftleft(F.hash(*keys).cast("bigint") if keys else F.lit(0).cast("bigint"), 32).bitwiseOR(F.hash(*names.values(), "_x").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
         d = d.repartition(*keys, *(F.floor(F.col(n) / F.lit(4096)) if t in ("int", "bigint") else F.col(n) for n, t in d.select(*names.values()).dtypes))
-        d = d.sortWithinPartitions(*keys, *names.values(), "_x")
-    schema = pa.schema([*_fields(df, keys), pa.field("node", pa.int64()), pa.field("n", pa.int64())])
-    part = d.mapInArrow(_partial(keys, list(names.values()), u, schema), _ddl(df, keys) + "node bigint, n bigint")
-    return _pack(part, keys, u, df)
+        d = d.withColumn("_o", place).sortWithinPartitions("_o", *keys, *names.values(), "_x").select(*columns)
+    part = d.mapInArrow(_partial(keys, list(names.values()), u, _packed_schema(df, keys)), _ddl(df, keys) + _PACKED)
+    return _merge(part, keys, u, df)
 
 
 def merge_digests(df: DataFrame, keys: Sequence[str], universe: Universe | None = None) -> DataFrame:
-    """Digests of coarser keys, by adding the nodes of finer ones (e.g. of days, speakers or partitions)."""
-    flat = df.select(*keys, F.explode(F.arrays_zip(F.col("nodes").alias("node"), F.col("counts").alias("n"))).alias("_z")).select(*keys, F.col("_z.node").cast("bigint").alias("node"), "_z.n")
-    return _pack(flat, list(keys), universe or Universe(), df)
+    """Digests of coarser keys, by adding the nodes of finer ones (e.g. of days, speakers or partitions).
+
+    Each task first merges what it holds, so that at most one digest per task and key is moved.
+    """
+    u, keys = universe or Universe(), list(keys)
+    d = df.select(*keys, "nodes", "counts")
+    d = (d.sortWithinPartitions(*keys) if keys else d).mapInArrow(_merger(keys, u, _packed_schema(df, keys), PIECE), _ddl(df, keys) + _PACKED)
+    return _merge(d, keys, u, df)
+
+
+_PACKED = "nodes array<int>, counts array<bigint>"
+
+
+def _packed_schema(df: DataFrame, keys: Sequence[str], whole: bool = False) -> pa.Schema:
+    return pa.schema([*_fields(df, keys), *[pa.field("n", pa.int64())] * whole, pa.field("nodes", pa.list_(pa.int32())), pa.field("counts", pa.list_(pa.int64()))])
 
 
 def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"`{k}` {t}, " for k, t in df.select(*keys).dtypes)
 
 
+def _rows(keys: pa.Table, g: np.ndarray, v: np.ndarray, c: np.ndarray, schema: pa.Schema, piece: int | None) -> pa.Table:
+    """Packed digests of at most ``piece`` nodes a row; row i of ``keys`` has the keys of group i."""
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    at = first
+    if piece and len(g):
+        into = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+        at = np.flatnonzero(into % piece == 0)
+    offsets = pa.array(np.append(at, len(g)).astype(np.int32))
+    columns = {"nodes": pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))), "counts": pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int64)))}
+    if not piece:
+        columns["n"] = pa.array(np.add.reduceat(c, at) if len(g) else c)
+    take = keys.take(pa.array(g[at]))
+    return pa.table([columns.get(f.name) if f.name in columns else take.column(f.name) for f in schema], schema=schema)
+
+
 def _partial(keys: list[str], unique: list[str], u: Universe, schema: pa.Schema):
     same = [*keys, *unique, "_x"]
 
@@ -157,16 +192,15 @@ def _partial(keys: list[str], unique: list[str], u: Universe, schema: pa.Schema)
         else:
             rows = np.arange(skip, whole.num_rows)
         new = changes(whole, keys) if keys else np.zeros(whole.num_rows, bool)
-        group = np.cumsum(new)[rows]
-        node = u.cell(whole.column("_x").to_numpy()[rows]) + u.cells
         end = whole.slice(whole.num_rows - 1)
         if not len(rows):
             return schema.empty_table(), end
-        base = group[0]
-        g, v, c = compress(*_add(group - base, node, np.ones(len(node), np.int64)), u.bits, u.error)
-        at = np.searchsorted(group - base, np.arange(group[-1] - base + 1))
-        take = pa.array(rows[at][g])
-        return pa.table([*(whole.column(k).take(take) for k in keys), pa.array(v), pa.array(c)], schema=schema), end
+        group = np.cumsum(new)[rows]
+        group -= group[0]
+        node = u.cell(whole.column("_x").to_numpy()[rows]) + u.cells
+        g, v, c = compress(*_add(group, node, np.ones(len(node), np.int64)), u.bits, u.error)
+        at = np.searchsorted(group, np.arange(group[-1] + 1))
+        return _rows(whole.take(pa.array(rows[np.minimum(at, len(rows) - 1)])), g, v, c, schema, PIECE), end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, count, last = [], 0, None
@@ -175,41 +209,56 @@ def _partial(keys: list[str], unique: list[str], u: Universe, schema: pa.Schema)
             count += b.num_rows
             if count >= 250_000:
                 out, last = flush(kept, last)
-                yield from out.to_batches(max_chunksize=100_000)
+                yield from out.to_batches(max_chunksize=4_000)
                 kept, count = [], 0
         if count:
-            yield from flush(kept, last)[0].to_batches(max_chunksize=100_000)
+            yield from flush(kept, last)[0].to_batches(max_chunksize=4_000)
 
     return run
 
 
-def _pack(flat: DataFrame, keys: list[str], u: Universe, like: DataFrame) -> DataFrame:
-    """A group has at most 2**(bits + 1) nodes here, so packing one is bounded."""
-    sums = flat.groupBy(*keys, "node").agg(F.sum("n").alias("n"))
-    if keys:
-        sums = sums.repartition(*keys).sortWithinPartitions(*keys, "node")
-    else:
-        sums = sums.repartition(1).sortWithinPartitions("node")
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    schema = pa.schema([*_fields(like, keys), pa.field("n", pa.int64()), pa.field("nodes", ints), pa.field("counts", longs)])
-
-    def pack(t: pa.Table, at: np.ndarray) -> pa.Table:
-        group = np.zeros(t.num_rows, np.int64)
-        group[at[1:]] = 1
-        g, v, c = compress(np.cumsum(group), t.column("node").to_numpy(), t.column("n").to_numpy(), u.bits, u.error)
-        to = np.append(0, np.cumsum(np.bincount(g, minlength=len(at))))
-        offsets = pa.array(to.astype(np.int32))
-        return pa.table(
-            [
-                *(t.column(k).take(pa.array(at)) for k in keys),
-                pa.array(np.add.reduceat(c, to[:-1])),
-                pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))),
-                pa.ListArray.from_arrays(offsets, pa.array(c)),
-            ],
-            schema=schema,
-        )
+def _merger(keys: list[str], u: Universe, schema: pa.Schema, piece: int | None, rows: int = 4_000):
+    """Merge consecutive packed rows of a key. Only the digest of the last key is carried from batch to batch, so a key may have any number of rows."""
+    between = pa.schema([f for f in schema if f.name != "n"])
 
-    return sums.mapInArrow(per_groups(pack, keys, schema), _ddl(like, keys) + "n bigint, nodes array<int>, counts array<bigint>")
+    def merged(t: pa.Table):
+        new = changes(t, keys) if keys else np.zeros(t.num_rows, bool)
+        new[:1] = True
+        nodes, counts = (pa.concat_arrays(t.column(x).chunks) if t.column(x).num_chunks != 1 else t.column(x).chunk(0) for x in ("nodes", "counts"))
+        size = np.diff(nodes.offsets.to_numpy())
+        group = np.repeat(np.cumsum(new) - 1, size)
+        values = nodes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts.flatten().to_numpy(zero_copy_only=False)
+        return (t.select(keys) if keys else t).take(pa.array(np.flatnonzero(new))), *compress(*_add(group, *values), u.bits, u.error)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        count = 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal kept, count
+            first, g, v, c = merged(pa.Table.from_batches(kept).combine_chunks())
+            done = g < (first.num_rows if last else first.num_rows - 1)
+            yield from _rows(first, g[done], v[done], c[done], schema, piece).to_batches(max_chunksize=200)
+            kept = [] if last else _rows(first, g[~done], v[~done], c[~done], between, PIECE).combine_chunks().to_batches()
+            count = 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept.append(b.select(between.names))
+            count += b.num_rows
+            if count >= rows:
+                yield from flush(False)
+        if kept:
+            yield from flush(True)
+
+    return run
+
+
+def _merge(part: DataFrame, keys: list[str], u: Universe, like: DataFrame) -> DataFrame:
+    d = part.repartition(*keys).sortWithinPartitions(*keys) if keys else part.repartition(1)
+    schema = _packed_schema(like, keys, whole=True)
+    return d.mapInArrow(_merger(keys, u, schema, None), _ddl(like, keys) + "n bigint, " + _PACKED)
 
 
 def digest_quantiles(df: DataFrame, probs: Sequence[float], universe: Universe | None = None) -> DataFrame:
@@ -229,6 +278,8 @@ def digest_quantiles(df: DataFrame, probs: Sequence[float], universe: Universe |
 
 
 INSIDE, OUTSIDE, UNSURE = 0, 1, 2
+#: Most keys that are sent to all executors; more are joined by a shuffle.
+BROADCAST_KEYS = 50_000
 
 
 def judge(n: int, below: np.ndarray, upto: np.ndarray, p: np.ndarray, slack: float) -> np.ndarray:
@@ -241,6 +292,27 @@ def judge(n: int, below: np.ndarray, upto: np.ndarray, p: np.ndarray, slack: flo
     return np.where(sure_low | sure_high, OUTSIDE, np.where(not_low & not_high, INSIDE, UNSURE))
 
 
+def enclosure(frames: DataFrame, quantiles: DataFrame, keys: Sequence[str], value: str, unique: Sequence[str], universe: Universe | None = None, levels: int = 1) -> DataFrame:
+    """(keys, p, n, holds) of the rows of :func:`digest_quantiles`, by counting all readings.
+
+    holds: the bounds enclose the order statistic at rank floor((n - 1) p), and no more than 2 * levels * error * n readings,
+    besides those in the bounds' outer cells, lie between them; ``levels`` is how often digests were merged to coarser keys, plus 1.
+    """
+    u, keys = universe or Universe(), list(keys)
+    d = frames.where(F.col(value).between(u.low, u.high)).select(*keys, *(F.col(c).alias(f"_u{i}") for i, c in enumerate(unique)), F.col(value).alias("_x"))
+    d = d.distinct() if unique else d
+    q = quantiles.select(*keys, F.col("n").alias("_n"), F.inline("quantiles"))
+    x, cell = F.col("_x"), (u.high - u.low) / u.cells
+    near = 1e-9  # a value on a cell's edge may be quantized to either side
+    c = (d.join(q, keys) if keys else d.crossJoin(F.broadcast(q))).groupBy(*keys, "_n", "p", "low", "high").agg(  # without keys one row per p
+        F.count(F.lit(1)).alias("n"), F.sum((x < F.col("low") - near).cast("bigint")).alias("_below"), F.sum((x <= F.col("high") + near).cast("bigint")).alias("_upto"),
+        F.sum(((x > F.col("low") + cell) & (x < F.col("high") - cell)).cast("bigint")).alias("_inside"),
+    )
+    k = F.floor((F.col("n") - 1) * F.col("p"))
+    holds = (F.col("n") == F.col("_n")) & (F.col("_below") <= k) & (F.col("_upto") > k) & (F.col("_inside") <= 2 * levels * u.error * F.col("n"))
+    return c.select(*keys, "p", "n", holds.alias("holds"))
+
+
 def check_stored(frames: DataFrame, stored: DataFrame, keys: Sequence[str], value: str, unique: Sequence[str], stats: dict[str, float], slack: float = 0.002, universe: Universe | None = None) -> DataFrame:
     """(keys, stat) of stored percentiles outside the quantiles p - slack to p + slack of their key's readings.
 
@@ -275,7 +347,10 @@ def check_stored(frames: DataFrame, stored: DataFrame, keys: Sequence[str], valu
 def _count_exactly(frames: DataFrame, unsure: DataFrame, keys: list[str], value: str, unique: Sequence[str], slack: float, u: Universe) -> DataFrame:
     """Exact check of stored values by counts and neighbours, with partial sums; no group of readings is gathered."""
     d = frames.where(F.col(value).between(u.low, u.high)).select(*keys, *(F.col(c).alias(f"_u{i}") for i, c in enumerate(unique)), F.col(value).alias("_x"))
-    d = d.join(unsure.select(*keys).distinct(), keys, "left_semi")
+    few = unsure.select(*keys).distinct()
+    if few.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        few = F.broadcast(few)
+    d = d.join(few, keys, "left_semi")
     if unique:
         d = d.distinct()
     asked = unsure.select(*keys, F.col("stat").alias("_stat"), F.col("p").alias("_p"), F.col("s").alias("_s"))

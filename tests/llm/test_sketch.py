@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from phonoduct.llm.sketch import OUTSIDE, Universe, check_stored, compress, digest_quantiles, digests, judge, merge_digests, rank_bounds
+from phonoduct.llm.sketch import OUTSIDE, Universe, check_stored, compress, digest_quantiles, digests, enclosure, judge, merge_digests, rank_bounds
 
 U = Universe(0.0, 1.0, 10, 0.05)
 SCHEMA = "sp string, day int, s string, i bigint, v double, node bigint, n int"
@@ -39,6 +41,33 @@ def test_quantiles_are_enclosed(spark):
             assert b.low <= own[int((len(own) - 1) * b.p)] <= b.high
 
 
+def test_bounds_are_counted(spark):
+    x = data(5)
+    df = spark.createDataFrame(x + x[:100], SCHEMA)
+    q = digest_quantiles(digests(df, ["sp"], "v", ["s", "i"], U), [0.0, 0.5, 0.999], U)
+    got = enclosure(df, q, ["sp"], "v", ["s", "i"], U).collect()
+    assert len(got) == 6 and all(r.holds for r in got) and {r.n for r in got} == {sum(t[0] == k for t in x) for k in ("hot", "cold")}
+    low = q.withColumn("quantiles", F.transform("quantiles", lambda b: F.struct(b.p, (b.low - 0.5).alias("low"), (b.high - 0.5).alias("high"))))
+    wide = q.withColumn("quantiles", F.transform("quantiles", lambda b: F.struct(b.p, (b.low - 0.5).alias("low"), b.high)))
+    for odd in (low, wide):
+        assert not all(r.holds for r in enclosure(df, odd, ["sp"], "v", ["s", "i"], U).where("p = 0.5").collect())
+
+
+@pytest.mark.parametrize("rows", [1, 3])
+def test_a_key_may_have_more_pieces_than_a_batch(spark, rows):
+    """Digests of many small parts, merged a few rows at a time, equal the digest of all."""
+    from phonoduct.llm import sketch
+
+    x = np.random.default_rng(6).integers(0, 1024, 3000)
+    keys, schema = pa.table({"k": ["a", "b"]}), pa.schema([("k", pa.string()), ("nodes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+    parts = [sketch._rows(keys, *sketch._add((np.arange(len(p)) >= len(p) // 2).astype(int), p + 1024, np.ones(len(p), int)), schema, 7) for p in np.split(x, 30)]
+    table = pa.concat_tables(parts).sort_by("k")
+    whole = pa.schema([schema.field(0), ("n", pa.int64()), schema.field(1), schema.field(2)])
+    out = pa.Table.from_batches(list(sketch._merger(["k"], U, whole, None, rows)(iter(table.to_batches(max_chunksize=rows))))).to_pylist()
+    assert [(r["k"], r["n"], sum(r["counts"])) for r in out] == [("a", 1500, 1500), ("b", 1500, 1500)]
+    assert [len(r["nodes"]) <= 3 * 10 / 0.05 + 1 for r in out] == [True, True]
+
+
 def test_compress_keeps_counts():
     rng = np.random.default_rng(2)
     node = np.sort(rng.choice(1024, 300, replace=False)) + 1024
