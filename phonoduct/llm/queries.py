@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phonoduct.llm.encode import encode
 from phonoduct.llm.packing import pack
 from phonoduct.llm.runs import collapse_runs, with_duration
-from phonoduct.llm.sketch import check_stored, digest_quantiles, digests
+from phonoduct.llm.sketch import check_stored, digest_quantiles, digests, enclosure, merge_digests
 from phonoduct.llm.spans import coverage, linked_passages, shared_blocks, shared_runs
 from phonoduct.llm.splitting import cut_series, forced, pieces
 from phonoduct.runtime import table
@@ -25,9 +25,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """Enclosed median, q001 and q999 of each speaker and day, from mergeable digests."""
+    """The digest (nodes and counts) of each speaker and day, with the bounds of its median, q001 and q999."""
     q = digest_quantiles(digests(table(spark, d, "f0_frames"), KEYS, "lf0", READING), list(STATS.values()))
-    return q.select(*KEYS, "n", F.inline("quantiles"))
+    at = [F.get(f"quantiles.{side}", F.lit(i)).alias(f"{s}_{side}") for i, s in enumerate(STATS) for side in ("low", "high")]
+    return q.select(*KEYS, "n", "nodes", "counts", *at)
+
+
+def p3_day_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the digests' bounds enclose the quantiles of each speaker and day within the rank error, by counting."""
+    f = table(spark, d, "f0_frames")
+    return enclosure(f, digest_quantiles(digests(f, KEYS, "lf0", READING), list(STATS.values())), KEYS, "lf0", READING)
+
+
+def p3_speaker_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same for each speaker, whose digest is merged from those of the days."""
+    f = table(spark, d, "f0_frames")
+    merged = merge_digests(digests(f, KEYS, "lf0", READING), ["speaker_id"])
+    return enclosure(f.withColumn("series_id", F.concat_ws(" ", "series_id", "rec_day")), digest_quantiles(merged, list(STATS.values())), ["speaker_id"], "lf0", READING, levels=2)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +91,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return linked_passages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_quantiles, p4_found, p4_runs, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_coverage, p8_passages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_quantiles, p3_day_bounds, p3_speaker_bounds, p4_found, p4_runs, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_coverage, p8_passages)}
 
 _RUNS = """
 with s as (select series_id, idx, min(v) v from series_frames group by 1, 2),
@@ -97,7 +111,14 @@ l as (select *, lag(i) over (partition by doc_id order by i) p from h),
 g as (select *, sum(case when p is null or i > p + 64 then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) run from l),
 spans as (select doc_id, min(i) first_char, max(i) + 63 last_char from g group by doc_id, run)"""
 
+_BOUNDS = """
+with f as (select distinct speaker_id, rec_day, series_id, idx, lf0 from f0_frames where lf0 between ln(20) and ln(2000)),
+n as (select {0}, count(*) n from f group by all)
+select {0}, p, n, true holds from n, (select unnest([0.5e0, 0.001e0, 0.999e0]) p)"""
+
 SQL = {
+    "p3_day_bounds": _BOUNDS.format("speaker_id, rec_day"),
+    "p3_speaker_bounds": _BOUNDS.format("speaker_id"),
     "p3_found": """
 with f as (select distinct speaker_id, rec_day, series_id, idx, lf0 from f0_frames where lf0 between ln(20) and ln(2000)),
 q as (select speaker_id, rec_day, quantile_cont(lf0, [0.498, 0.502, 0.0, 0.003, 0.997, 1.0]) q from f group by 1, 2),
