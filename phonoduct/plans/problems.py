@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoduct.operators.anomalies import bad_rates, flag_frames
+from phonoduct.operators.anomalies import TAIL_DOWN, TAIL_UP, Limits, bad_rates, esd_frames, flag_frames
 from phonoduct.operators.intervals import label_ticks, periods_and_gaps
 from phonoduct.runtime import table
 
@@ -21,7 +21,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return frames.unionByName(bad_rates(table(spark, d, "series_meta")).select("series_id", F.lit(-1).cast("bigint").alias("idx")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+#: Frames of a season: at the usual 200 frames a second, a tenth of one.
+PERIOD = 20
+
+
+def p2_esd(spark: SparkSession, d: str) -> DataFrame:
+    """Bad frames by the verdict of seasonal-trend decomposition and generalised ESD."""
+    return esd_frames(table(spark, d, "f0_frames"), limits=Limits(alpha=0.05, period=PERIOD))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_esd": p2_esd}
+
+_USABLE = """
+with f as (select distinct series_id, idx, lf0 x from f0_frames where lf0 is not null),
+a as (select *, (isnan(x) or isinf(x) or (x <> 0 and (x < ln(20) or x > ln(2000)))) imp from f),
+fine as (select *, idx - row_number() over (partition by series_id order by idx) g from a where not imp and x <> 0),
+w as (select *, count(*) over h c, max(x) over h - min(x) over h d from fine
+  window h as (partition by series_id, g order by idx rows between current row and 19 following)),
+s as (select *, max(case when c = 20 and d <= 0.00015 then 1 else 0 end) over (partition by series_id, g order by idx rows between 19 preceding and current row) st from w),"""
+
+_Z = f"(t - ({TAIL_UP[0]}::double + t * ({TAIL_UP[1]}::double + t * {TAIL_UP[2]}::double)) / (1 + t * ({TAIL_DOWN[0]}::double + t * ({TAIL_DOWN[1]}::double + t * {TAIL_DOWN[2]}::double))))"
 
 SQL = {
     "p1_found": """
@@ -35,13 +54,25 @@ p as (select utt_id, id, min(s) s, max(e) e from g group by 1, 2),
 n as (select *, lead(s) over (partition by utt_id order by s) n from p)
 select utt_id, 'period' as kind, s as start_t, e as end_t from n
 union all select utt_id, 'gap', e, n from n where n is not null""",
-    "p2_found": """
-with f as (select distinct series_id, idx, lf0 x from f0_frames where lf0 is not null),
-a as (select *, (isnan(x) or isinf(x) or (x <> 0 and (x < ln(20) or x > ln(2000)))) imp from f),
-fine as (select *, idx - row_number() over (partition by series_id order by idx) g from a where not imp and x <> 0),
-w as (select *, count(*) over h c, max(x) over h - min(x) over h d from fine
-  window h as (partition by series_id, g order by idx rows between current row and 19 following)),
-s as (select *, max(case when c = 20 and d <= 0.00015 then 1 else 0 end) over (partition by series_id, g order by idx rows between 19 preceding and current row) st from w),
+    "p2_esd": _USABLE
+    + f"""
+u as (select series_id, idx, x, row_number() over (partition by series_id order by idx) r, count(*) over (partition by series_id) n from s where st = 0),
+l as (select series_id, list(x order by idx) l from u group by 1),
+b as (select series_id, idx, x - list_aggregate(l[greatest(least(r - 3, n - 6), 1) : greatest(least(r - 3, n - 6), 1) + 6], 'median') x from u join l using (series_id)),
+p as (select series_id, idx % {PERIOD} h, median(x) m from b group by 1, 2),
+c as (select b.series_id, idx, x - m x from b join p on b.series_id = p.series_id and idx % {PERIOD} = h),
+m as (select series_id, median(x) m from c group by 1),
+z as (select series_id, idx, x - m x, abs(x - m) d from c join m using (series_id)),
+k as (select series_id, idx, x, count(*) over (partition by series_id) n, row_number() over o c, sum(x) over o s, sum(x * x) over o q from z
+  window o as (partition by series_id order by d, idx rows unbounded preceding)),
+e as (select *, n - c + 1 i, abs(x - s / c) v, sqrt(greatest(q - s * s / c, 0) / greatest(c - 1, 1)) sd, greatest(c - 2, 1)::double nu, sqrt(-2 * ln(least(0.05::double / (2 * c), 0.5))) t from k where c > n / 2),
+g as (select *, {_Z} y from e),
+j as (select *, y + (y ** 3 + y) / (4 * nu) + (5 * y ** 5 + 16 * y ** 3 + 3 * y) / (96 * nu * nu) tt from g),
+h as (select series_id, max(i) many from j where v > (c - 1) * tt / sqrt((nu + tt * tt) * c) * sd and i <= greatest(n // 2, 1) and c > 2 group by 1)
+select series_id, idx, 'fixed' as kind from a where imp union select series_id, idx, 'fixed' from s where st = 1
+union select series_id, idx, 'spike' from j join h using (series_id) where i <= many""",
+    "p2_found": _USABLE
+    + """
 u as (select series_id, idx, x, idx - row_number() over (partition by series_id order by idx) g from s where st = 0),
 v as (select *, lag(x) over k p1, lead(x) over k n1, lead(x, 2) over k n2, lead(x, 3) over k n3 from u window k as (partition by series_id, g order by idx)),
 m as (select series_id, median(abs(x - p1)) m from v where p1 is not null group by 1),
