@@ -9,7 +9,7 @@ from phonoduct.llm.encode import encode
 from phonoduct.llm.packing import pack
 from phonoduct.llm.runs import collapse_runs, with_duration
 from phonoduct.llm.sketch import check_stored, digest_quantiles, digests, enclosure, merge_digests
-from phonoduct.llm.spans import coverage, linked_passages, shared_blocks, shared_runs
+from phonoduct.llm.spans import coverage, linked_passages, links, shared_blocks, shared_runs
 from phonoduct.llm.splitting import cut_series, forced, pieces
 from phonoduct.runtime import table
 
@@ -86,12 +86,17 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage(p8_found(spark, d))
 
 
+def p8_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage of each class of equal texts with the first class that holds it: texts with the same holder and place share it."""
+    return links(shared_blocks(table(spark, d, "documents")))
+
+
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Chained passages between every two classes of equal texts that share one, with the edits between their exact blocks."""
-    return linked_passages(table(spark, d, "documents"))
+    """Passages chained over edits, of each class with the first holders of its blocks and of the steps between them."""
+    return linked_passages(shared_blocks(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_quantiles, p3_day_bounds, p3_speaker_bounds, p4_found, p4_runs, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_coverage, p8_passages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_quantiles, p3_day_bounds, p3_speaker_bounds, p4_found, p4_runs, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_coverage, p8_links, p8_passages)}
 
 _RUNS = """
 with s as (select series_id, idx, min(v) v from series_frames group by 1, 2),
@@ -143,5 +148,12 @@ l as (select series_id, f from s where t - f > 10 * rate)
 select series_id, f as forced_from from l
 union all select series_id, -1 from n where series_id not in (select series_id from l)""",
     "p8_found": _SHARED + " select doc_id, first_char, last_char from spans",
+    "p8_links": """
+with d as (select min(doc_id) c, text from documents where length(text) >= 64 group by text),
+w as (select c, i, substring(text, cast(i + 1 as bigint), 64) s from (select c, text, unnest(range(0, length(text) - 63)) i from d)),
+m as (select s, min({'c': c, 'i': i}) h from w group by s having min(c) <> max(c)),
+x as (select w.c, w.i, h.c o, h.i q from w join m using (s) where h.c < w.c),
+g as (select *, i - row_number() over (partition by c, o, i - q order by i) g from x)
+select c, min(i) first_char, max(i) + 63 last_char, o as holder, min(q) holder_first from g group by c, o, i - q, g""",
     "p8_coverage": _SHARED + " select doc_id, count(*) n_spans, cast(sum(last_char - first_char + 1) as bigint) shared_chars from spans group by doc_id",
 }

@@ -1,15 +1,16 @@
 """Long exact spans that records share, by seeds, collinear chains and alignment.
 
 1. Equal texts become one class (its smallest key stands for it).
-2. Seeds: minimizers, chosen by content alone, so that every window of ``least`` characters holds one and equal
-   windows hold the same. Only seeds that occur in two classes are kept.
-3. Anchors: the windows of ``least`` characters around kept seeds, by 128-bit fingerprint. Each is matched with
-   one partner, the first or the last class that holds it - enough to know whether it is shared, and
-   linear in the number of windows however often one occurs. With ``every`` each is matched with all classes that
-   hold it: windows that always follow each other are one stretch, and stretches are matched, not windows.
+2. Seeds: minimizers, chosen by content alone, so that every window of ``least`` characters has one and equal
+   windows have the same. Consecutive windows of one seed are a stretch. Only stretches whose seed occurs in two classes are kept.
+3. Anchors: stretches of equal text (seed and 64-bit fingerprint) are one, and each is matched with its first and last holder.
+   Where a seed has several texts around it, one copy of each is taken apart into windows, which are matched in the same way.
+   So a window is matched with the first class that holds it (the first with the last) - linear in the number of windows however
+   often one occurs, and two texts that share a window have the same first holder and place for it.
 4. Anchors on one diagonal merge into blocks; the blocks of a record and partner are chained with gap costs
    through a Fenwick tree, so that passages may go on over small edits.
-5. :func:`passages` aligns what lies between the blocks of a chain; :func:`shared_runs` unites the exact blocks.
+5. :func:`shared_runs` unites the exact blocks; :func:`links` lists who shares what with whom; :func:`linked_passages` chains
+   each text with the first holders of its blocks, and of the steps from one block to the next, and aligns what lies between.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from phonoduct.runtime import cut_lineage, per_groups
 
 LEAST = 64
-#: Characters hashed at once, which bounds a task's memory.
-SEGMENT = 1_000_000
+#: Characters hashed at once: few enough for the arrays to stay in a core's cache.
+SEGMENT = 1 << 16
 _U = np.uint64
 
 
@@ -45,19 +46,27 @@ class Rolling:
         self.inverse = _U(pow(base | 1, -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
-    def __call__(self, chars: np.ndarray, k: int) -> np.ndarray:
+    def _sums(self, chars: np.ndarray) -> np.ndarray:
         n = len(chars)
         if len(self.up) < n:
             self.up = np.cumprod(np.append(_U(1), np.full(n - 1, self.base)), dtype=np.uint64)
             self.down = np.cumprod(np.append(_U(1), np.full(n - 1, self.inverse)), dtype=np.uint64)
         s = np.zeros(n + 1, np.uint64)
         np.cumsum(_mix(chars.astype(np.uint64) + self.salt) * self.up[:n], out=s[1:])
-        return _mix((s[k:] - s[:-k]) * self.down[: n - k + 1])
+        return s
+
+    def __call__(self, chars: np.ndarray, k: int) -> np.ndarray:
+        s = self._sums(chars)
+        return _mix((s[k:] - s[:-k]) * self.down[: max(len(chars) - k + 1, 0)])
+
+    def spans(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of any length."""
+        s = self._sums(chars)
+        return _mix((s[end] - s[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
 _SEED = Rolling(0x9E3779B97F4A7C15, 0x243F6A8885A308D3)
-_ONE = Rolling(0xD1342543DE82EF95, 0x13198A2E03707344)
-_TWO = Rolling(0xAF251AF3B0F025B5, 0xA4093822299F31D0)
+_PRINT = Rolling(0xD1342543DE82EF95, 0x13198A2E03707344)
 
 
 def _slide(a: np.ndarray, w: int, best) -> np.ndarray:
@@ -71,31 +80,41 @@ def _slide(a: np.ndarray, w: int, best) -> np.ndarray:
 
 def _segments(texts: list[str | None], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(chars, row, position) of texts joined to segments; longer texts go on in the next with least - 1 characters repeated."""
-    chars, rows, at, size = [], [], [], 0
+    chars, rows, begins, size = [], [], [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(x) for x in chars])
+        at = np.arange(n.sum(), dtype=np.int32) + np.repeat(np.array(begins) - np.cumsum(n) + n, n).astype(np.int32)
+        return np.concatenate(chars), np.repeat(np.array(rows, np.int32), n), at
+
     for r, t in enumerate(texts):
         c = np.frombuffer(t.encode("utf-32-le"), np.uint32)
         for a in range(0, max(len(c) - least + 1, 0), SEGMENT):
             part = c[a : a + SEGMENT + least - 1]
             chars.append(part)
-            rows.append(np.full(len(part), r, np.int32))
-            at.append(np.arange(a, a + len(part), dtype=np.int32))
+            rows.append(r)
+            begins.append(a)
             size += len(part)
             if size >= SEGMENT:
-                yield tuple(map(np.concatenate, (chars, rows, at)))
-                chars, rows, at, size = [], [], [], 0
+                yield joined()
+                chars, rows, begins, size = [], [], [], 0
     if size:
-        yield tuple(map(np.concatenate, (chars, rows, at)))
+        yield joined()
+
+
+#: Low bits of a seed's order that hold its place in a segment, so that the leftmost of equal seeds comes first.
+_PLACE = 22
 
 
-def minimizers(chars: np.ndarray, whole: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of seeds of joined texts; ``whole`` marks where a window of ``least`` lies within one text."""
+def stretches(chars: np.ndarray, whole: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, hash of the seed) of stretches of joined texts; ``whole`` marks where a window lies within one text."""
     k = least // 2 + 1
     h = _SEED(chars, k)
-    low = _slide(h, least - k + 1, np.minimum)
-    low = np.where(whole, low, _U(0))
-    pad = np.zeros(least - k, np.uint64)
-    picked = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), least - k + 1, np.maximum) == h)
-    return picked, h[picked].view(np.int64)
+    order = (h >> _U(_PLACE) << _U(_PLACE)) | np.arange(len(h), dtype=np.uint64)
+    seed = (_slide(order, least - k + 1, np.minimum) & _U((1 << _PLACE) - 1)).astype(np.int64)
+    i = np.flatnonzero(whole)
+    first = np.flatnonzero(np.append(True, (np.diff(seed[i]) != 0) | (np.diff(i) != 1))) if len(i) else i
+    return i[first], np.diff(np.append(first, len(i))), h[seed[i[first]]].view(np.int64)
 
 
 def _whole(rows: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
@@ -103,68 +122,76 @@ def _whole(rows: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
     return (rows[:n] == rows[least - 1 :]) & (at[least - 1 :] - at[:n] == least - 1)
 
 
-def _seeds(least: int):
+def _seeds(least: int, places: bool = False):
+    """(h, c) of each stretch; with ``places`` also its first window p."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for chars, rows, at in _segments(b.column(1).to_pylist(), least):
-                pos, h = minimizers(chars, _whole(rows, at, least), least)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[rows[pos]]), pa.array(at[pos])], ["h", "c", "p"])
+                i, _, h = stretches(chars, _whole(rows, at, least), least)
+                out = [pa.array(h), pa.array(ids[rows[i]])] + [pa.array(at[i])] * places
+                yield pa.RecordBatch.from_arrays(out, ["h", "c", "p"][: len(out)])
 
     return run
 
 
-def _windows(least: int, around: bool = False):
-    """Fingerprints of the windows that hold one of a text's kept seeds; ``around``: with the characters before and after, -1 for none."""
-    reach = least - (least // 2 + 1)
+def _kept(least: int, common):
+    """(h, f, c, p, n, first, ws): stretches with a kept seed, the fingerprint of their text and of each window; first: not yet seen in its text.
+
+    ``common`` has the kept seeds, sorted; without it a third column lists the windows with which a text's kept stretches begin.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, lists = b.column(0).to_numpy(), b.column(2)
-            first = lists.offsets.to_numpy()
-            kept = lists.values.to_numpy()
+            ids = b.column(0).to_numpy()
+            row, seen = -1, set()  # of the text that goes on from the segment before
             for chars, rows, at in _segments(b.column(1).to_pylist(), least):
-                n = len(chars) - least + 1
-                near = np.zeros(n + 1, np.int32)
-                starts = np.flatnonzero(np.append(True, (np.diff(rows) != 0) | (np.diff(at) != 1)))
-                for s, e in zip(starts, np.append(starts[1:], len(rows))):
-                    p = kept[first[rows[s]] : first[rows[s] + 1]] - at[s] + s
-                    p = p[(p >= s - least) & (p < e + least)]
-                    np.add.at(near, np.clip(p - reach, s, min(e, n)), 1)
-                    np.add.at(near, np.clip(p + 1, s, min(e, n)), -1)
-                pos = np.flatnonzero((np.cumsum(near[:-1]) > 0) & _whole(rows, at, least))
-                one, two = (f(chars, least)[pos].view(np.int64) for f in (_ONE, _TWO))
-                out, names = [pa.array(one), pa.array(two), pa.array(ids[rows[pos]]), pa.array(at[pos])], ["h", "g", "c", "p"]
-                if around:
-                    # None is taken as -1 at the edge of a segment too: that parts a stretch for all that hold it.
-                    for k, name in ((-1, "before"), (least, "after")):
-                        i = np.clip(pos + k, 0, len(chars) - 1)
-                        near_by = (rows[i] == rows[pos]) & (at[i] - at[pos] == k)
-                        out.append(pa.array(np.where(near_by, chars[i].astype(np.int32), np.int32(-1))))
-                        names.append(name)
-                found = pa.RecordBatch.from_arrays(out, names)
-                yield from (found.slice(i, 50_000) for i in range(0, found.num_rows, 50_000))
+                i, n, h = stretches(chars, _whole(rows, at, least), least)
+                if common is not None:
+                    keep = common.value[np.minimum(np.searchsorted(common.value, h), len(common.value) - 1)] == h
+                else:
+                    lists = b.column(2)
+                    starts = (np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) << 32) | lists.flatten().to_numpy()
+                    keep = np.isin((rows[i].astype(np.int64) << 32) | at[i], starts)
+                i, n, h = i[keep], n[keep], h[keep]
+                f = _PRINT.spans(chars, i, i + n + least - 1).view(np.int64)
+                r = rows[i]
+                order = np.lexsort((i, f, h, r))
+                new = np.append(True, (np.diff(r[order]) != 0) | (np.diff(h[order]) != 0) | (np.diff(f[order]) != 0))[: len(order)]
+                first = np.zeros(len(i), bool)
+                first[order[new]] = True
+                for j in np.flatnonzero((r == row) & first):
+                    first[j] = (h[j], f[j]) not in seen
+                if len(rows) and rows[-1] != row:
+                    row, seen = rows[-1], set()
+                seen |= {(h[j], f[j]) for j in np.flatnonzero(r == row)} if at[-1] >= SEGMENT - 1 else set()
+                into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at_w = np.repeat(i, n) + into
+                ws = _PRINT.spans(chars, at_w, at_w + least).view(np.int64)
+                ws = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ws))
+                out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(f), pa.array(ids[r]), pa.array(at[i]), pa.array(n.astype(np.int32)), pa.array(first), ws], ["h", "f", "c", "p", "n", "first", "ws"])
+                yield from (out.slice(k, 10_000) for k in range(0, out.num_rows, 10_000))
 
     return run
 
 
-_STRETCH = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("c", pa.int64()), ("p", pa.int32()), ("n", pa.int32())])
+_RUN = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("c0", pa.int64()), ("q0", pa.int32()), ("c1", pa.int64()), ("q1", pa.int32())])
 
 
-def _stretches(t: pa.Table, at: np.ndarray) -> pa.Table:
-    """Stretches of n windows of which each always goes with the next, named by the first window."""
-    p, left, right = (t.column(x).to_numpy(zero_copy_only=False) for x in ("p", "left", "right"))
-    new = np.zeros(len(p), bool)
+def _together(t: pa.Table, at: np.ndarray) -> pa.Table:
+    """Consecutive windows of a stretch whose first and last holders go on alike, as one."""
+    off, c0, q0, c1, q1 = (t.column(x).to_numpy() for x in ("off", "c0", "q0", "c1", "q1"))
+    new = np.zeros(len(off), bool)
     new[at] = True
-    new[1:] |= (p[1:] != p[:-1] + 1) | ~(right[:-1] & left[1:])
+    new[1:] |= (np.diff(off) != 1) | (np.diff(c0) != 0) | (np.diff(c1) != 0) | (np.diff(q0) != 1) | (np.diff(q1) != 1)
     s = np.flatnonzero(new)
-    n = np.diff(np.append(s, len(p))).astype(np.int32)
-    return pa.table([*(t.column(x).take(pa.array(s)) for x in ("h", "g", "c", "p")), pa.array(n)], schema=_STRETCH)
+    d = {x: t.column(x).take(pa.array(s)) for x in _RUN.names if x != "n"} | {"n": pa.array(np.diff(np.append(s, len(off))).astype(np.int32))}
+    return pa.table([d[x] for x in _RUN.names], schema=_RUN)
 
 
 _BLOCK = pa.schema([("c", pa.int64()), ("partner", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("n", pa.int32()), ("chain", pa.int32())])
+_BLOCK_DDL = "c bigint, partner bigint, p int, q int, n int, chain int"
 
 
 class Fenwick:
@@ -223,13 +250,17 @@ def chain(p: np.ndarray, q: np.ndarray, size: np.ndarray, gap_cost: float) -> np
 
 
 def _blocks(least: int, gap_cost: float):
+    """Anchors on one diagonal that touch or overlap become one block; blocks are chained within (c, partner)."""
+
     def run(t: pa.Table, at: np.ndarray) -> pa.Table:
         c, partner, p, q, n = (t.column(x).to_numpy() for x in ("c", "partner", "p", "q", "n"))
         order = np.lexsort((p, q - p, partner, c))
         c, partner, p, q, n = c[order], partner[order], p[order], q[order], n[order]
-        new = np.append(True, (c[1:] != c[:-1]) | (partner[1:] != partner[:-1]) | (p[1:] != p[:-1] + n[:-1]) | (q[1:] != q[:-1] + n[:-1]))
-        s = np.flatnonzero(new)
-        n = np.add.reduceat(n, s)
+        line = np.append(True, (np.diff(c) != 0) | (np.diff(partner) != 0) | (np.diff(q - p) != 0))
+        far = np.cumsum(line) << 32
+        reach = np.maximum.accumulate(far + p + n) - far
+        s = np.flatnonzero(line | np.append(True, p[1:] > reach[:-1]))
+        n = reach[np.append(s[1:], len(p)) - 1] - p[s]
         c, partner, p, q = c[s], partner[s], p[s], q[s]
         pair = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (partner[1:] != partner[:-1])))
         number = np.zeros(len(c), np.int32)
@@ -241,55 +272,68 @@ def _blocks(least: int, gap_cost: float):
     return run
 
 
-def _one_partner(windows: DataFrame) -> DataFrame:
-    """(c, partner, p, q, n): each window with the first or the last class that holds it."""
-    place = F.struct("c", "p")
-    ends = windows.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a.c < b.c")
-    other = F.when(F.col("c") == F.col("a.c"), F.col("b")).otherwise(F.col("a"))
-    return windows.join(ends, ["h", "g"]).select("c", "p", other.alias("o")).select("c", F.col("o.c").alias("partner"), "p", F.col("o.p").alias("q"), F.lit(1).alias("n"))
-
+#: Most kept seeds (8 bytes each) that are sent to all executors; more are joined by shuffles.
+SENT_SEEDS = 1_000_000
 
-def _all_partners(windows: DataFrame) -> DataFrame:
-    """(c, partner, p, q, n): each stretch of windows with every place in every later class that holds it.
 
-    A window whose next character is the same wherever it occurs is always followed by the same window; if that
-    one's character before is always the same too, the two have the same holders and are matched as one.
-    """
-    same = lambda x: (F.min(x) >= 0) & (F.min(x) == F.max(x))
-    shared = windows.groupBy("h", "g").agg(F.min("c").alias("a"), F.max("c").alias("b"), same("before").alias("left"), same("after").alias("right")).where("a < b")
-    links = windows.select("h", "g", "c", "p").join(shared.select("h", "g", "left", "right"), ["h", "g"])
-    parts = cut_lineage(links.repartition("c").sortWithinPartitions("c", "p").mapInArrow(per_groups(_stretches, ["c"], _STRETCH), "h bigint, g bigint, c bigint, p int, n int"))
-    others = parts.select("h", "g", F.col("c").alias("partner"), F.col("p").alias("q"))
-    return parts.join(others, ["h", "g"]).where("c < partner").select("c", "partner", "p", "q", "n")
-
-
-def shared_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gap_cost: float = 0.5, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _kept_stretches(classes: DataFrame, least: int, sent: int) -> DataFrame:
+    texts = classes.select("c", "t")
+    common = cut_lineage(texts.mapInArrow(_seeds(least), "h bigint, c bigint").groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("h"))
+    schema = "h bigint, f bigint, c bigint, p int, n int, first boolean, ws array<bigint>"
+    few = [r[0] for r in common.limit(sent + 1).collect()]  # bounded by `sent`
+    if not few:
+        return texts.limit(0).mapInArrow(_kept(least, None), schema)
+    if len(few) <= sent:
+        return texts.mapInArrow(_kept(least, _broadcast(classes, few)), schema)
+    starts = texts.mapInArrow(_seeds(least, True), "h bigint, c bigint, p int").join(common, "h", "left_semi").groupBy("c").agg(F.collect_list("p").alias("ps"))  # at most a text's length
+    return texts.join(starts, "c").select("c", "t", "ps").mapInArrow(_kept(least, None), schema)
+
+
+def _broadcast(df: DataFrame, values: list[int]):
+    return df.sparkSession.sparkContext.broadcast(np.sort(np.array(values, np.int64)))
+
+
+def _anchors(kept: DataFrame) -> DataFrame:
+    """(c, partner, p, q, n): n consecutive windows with the first class that holds them; those of the first class itself with the last."""
+    key = ["h", "f"]
+    one = F.when(F.col("first"), F.col("c"))
+    equal = kept.groupBy(*key).agg(F.min(one).alias("c0"), F.min_by("p", one).alias("q0"), F.max(one).alias("c1"), F.max_by("p", one).alias("q1"), F.max("n").alias("n"))
+    several = equal.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    equal = equal.join(several, "h", "left")
+    alone = equal.where("texts is null and c0 < c1").select(*key, F.lit(0).alias("off"), "n", "c0", "q0", "c1", "q1")
+
+    copies = kept.where("first").select(*key, "c", "p", "ws").join(equal.where("texts is not null").select(*key, "c0", "q0", "c1", "q1"), key).where("c = c0 and p = q0")
+    windows = copies.select(*key, F.posexplode("ws").alias("off", "w"), "c0", "q0", "c1", "q1")
+    place = lambda c, q: F.struct(F.col(c), (F.col(q) + F.col("off")).alias(q))
+    shared = windows.groupBy("h", "w").agg(F.min(place("c0", "q0")).alias("a"), F.max(place("c1", "q1")).alias("b")).where("a.c0 < b.c1")
+    hits = windows.select(*key, "off", "w").join(shared, ["h", "w"]).select(*key, "off", "a.c0", "a.q0", "b.c1", "b.q1")
+    runs = hits.repartition(*key).sortWithinPartitions(*key, "off").mapInArrow(per_groups(_together, key, _RUN), "h bigint, f bigint, off int, n int, c0 bigint, q0 int, c1 bigint, q1 int")
+
+    d = kept.select(*key, "c", "p").join(alone.unionByName(runs), key)
+    own = F.col("c") == F.col("c0")
+    return d.select("c", F.when(own, F.col("c1")).otherwise(F.col("c0")).alias("partner"), (F.col("p") + F.col("off")).alias("p"), F.when(own, F.col("q1")).otherwise(F.col("q0")).alias("q"), "n")
+
+
+def shared_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gap_cost: float = 0.5, sent_seeds: int = SENT_SEEDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, blocks), the operator's result.
 
     * members (key, h): the rows' class.
     * classes (c, h, t, copies): per distinct text of at least ``least`` characters its smallest key, digest, text and
       whether another key has the same text.
     * blocks (c, partner, p, q, n, chain): n consecutive windows of ``least`` characters from character p of class c that
-      occur from character q of class ``partner``, numbered by chain within (c, partner). Each window has one partner; with
-      ``every`` all classes that hold it, for c < partner only, as the other half mirrors it.
+      occur from character q of class ``partner``, numbered by chain within (c, partner). The partner is the first class that
+      holds them, at its first place; for windows that c itself holds first it is the last class.
 
     Keys are bigint and unique apart from repeated rows, which count once. Null keys, null and empty texts and texts
-    shorter than ``least`` share nothing. Texts of any length are taken whole; other columns are ignored.
+    shorter than ``least`` share nothing. Texts of any length are taken whole; other columns are ignored. Up to ``sent_seeds``
+    seeds that several classes hold are sent to the tasks; more are joined by shuffles, with the same result.
     """
     d = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.length("t") >= least))
     d = d.withColumn("h", F.sha2("t", 256))
     classes = d.groupBy("h").agg(F.min("k").alias("c"), F.first("t").alias("t"), (F.min("k") < F.max("k")).alias("copies"))
     classes = cut_lineage(classes.select("c", "h", "t", "copies"))
-
-    seeds = cut_lineage(classes.select("c", "t").mapInArrow(_seeds(least), "h bigint, c bigint, p int"))
-    common = seeds.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("h")
-    kept = seeds.join(common, "h").groupBy("c").agg(F.collect_list("p").alias("ps"))  # at most the text's length
-    around = ", before int, after int" if every else ""
-    windows = cut_lineage(classes.select("c", "t").join(kept, "c").select("c", "t", "ps").mapInArrow(_windows(least, every), "h bigint, g bigint, c bigint, p int" + around))
-    anchors = _all_partners(windows) if every else _one_partner(windows)
-    blocks = (
-        anchors.repartition("c", "partner").sortWithinPartitions("c", "partner") if every else anchors.repartition("c").sortWithinPartitions("c")
-    ).mapInArrow(per_groups(_blocks(least, gap_cost), ["c", "partner"] if every else ["c"], _BLOCK), "c bigint, partner bigint, p int, q int, n int, chain int")
+    anchors = _anchors(cut_lineage(_kept_stretches(classes, least, sent_seeds)))
+    blocks = anchors.repartition("c").sortWithinPartitions("c").mapInArrow(per_groups(_blocks(least, gap_cost), ["c"], _BLOCK), _BLOCK_DDL)
     return d.select(F.col("k").alias(key), "h").distinct(), classes, cut_lineage(blocks)
 
 
@@ -320,24 +364,49 @@ def coverage(runs: DataFrame, key: str = "doc_id") -> DataFrame:
     return runs.groupBy(key).agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("last_char") - F.col("first_char") + 1).alias("shared_chars"))
 
 
+def links(result: tuple[DataFrame, DataFrame, DataFrame], least: int = LEAST) -> DataFrame:
+    """(c, first_char, last_char, holder, holder_first): each longest passage of class c with the first class that holds its windows.
+
+    Two texts share a window just if both have the same holder and place for it, or one is the holder; so no link between
+    different texts is lost, though the rows are as many as the passages, not the pairs.
+    """
+    b = result[2].where("partner < c")
+    return b.select("c", F.col("p").cast("bigint").alias("first_char"), (F.col("p") + F.col("n") + least - 2).cast("bigint").alias("last_char"), F.col("partner").alias("holder"), F.col("q").cast("bigint").alias("holder_first"))
+
+
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, row by row."""
-    if len(a) < len(b):
-        a, b = b, a
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row = np.arange(len(y) + 1)
-    for i, ch in enumerate(a):
-        d = np.minimum(row[:-1] + (y != ord(ch)), row[1:] + 1)
-        d = np.append(i + 1, d)
-        row = np.minimum.accumulate(d - np.arange(len(d))) + np.arange(len(d))
-    return int(row[-1])
+    """Levenshtein distance within a band around the diagonal, which is doubled until the distance fits in it."""
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in sorted((a, b), key=len))
+    same = np.flatnonzero(np.append(x != y[: len(x)], True))[0]
+    x, y = x[same:], y[same:]
+    band = max(len(y) - len(x), 8)
+    while True:
+        d = _banded(x, y, band)
+        if d <= band:
+            return d
+        band = min(2 * band, max(len(x), len(y)))
+
+
+def _banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
+    """The cheapest path that leaves the diagonal by at most ``band``: the distance, if that is at most ``band``."""
+    far = len(x) + len(y) + 1
+    shift = np.arange(-band, band + 1)
+    padded = np.concatenate([np.zeros(band, np.uint32), y, np.zeros(band + len(x) + 1, np.uint32)])
+    row = np.where(shift >= 0, shift, far)
+    for i, ch in enumerate(x):
+        at = shift + i + 1  # characters of y taken, on each diagonal
+        new = np.minimum(row + (padded[i : i + len(shift)] != ch), np.append(row[1:], far) + 1)
+        new = np.where((at >= 0) & (at <= len(y)), np.where(at == 0, i + 1, new), far)
+        row = np.minimum(np.minimum.accumulate(new - shift) + shift, far)
+    end = len(y) - len(x) + band
+    return int(row[end]) if end < len(row) else far
 
 
 def passages(result: tuple[DataFrame, DataFrame, DataFrame], least: int = LEAST) -> DataFrame:
     """(c, partner, first_char, last_char, partner_first, partner_last, exact_chars, edits): one row per chain.
 
     ``edits`` is the edit distance of the texts between the chain's blocks, by aligning each gap. Chains link classes
-    of equal texts; a class has one row per partner its windows were matched with: see ``every`` of :func:`shared_blocks`.
+    of equal texts, each with the partners of its blocks.
     """
     _, classes, blocks = result
     size = F.col("n") + least - 1
@@ -360,12 +429,55 @@ def passages(result: tuple[DataFrame, DataFrame, DataFrame], least: int = LEAST)
     return chains.join(edits, ["c", "partner", "chain"], "left").fillna(0, ["edits"]).drop("chain")
 
 
-def linked_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gap_cost: float = 0.5) -> DataFrame:
-    """:func:`passages` of every two classes that share a window of ``least`` characters, one row per chain and direction.
+_STEP_DDL = "c bigint, p int, n int, p2 int, n2 int, o bigint, oe int, o2 bigint, oq2 int"
+_STEP = pa.schema([(f, pa.int64() if k == "bigint" else pa.int32()) for f, k in (x.split() for x in _STEP_DDL.split(", "))])
+
+
+def _following(least: int, reach: int):
+    """Each block of a text with each later one that begins at most ``reach`` characters after its end; o is the first holder, oe and oq2 places there."""
+
+    def run(t: pa.Table, at: np.ndarray) -> pa.Table:
+        c, p, n, o, oq = (t.column(x).to_numpy() for x in ("c", "p", "n", "o", "oq"))
+        group = np.zeros(len(c), np.int64)
+        group[at] = 1
+        place = (np.cumsum(group) << 33) + p
+        first, last = np.arange(1, len(c) + 1), np.searchsorted(place, place + n + (least - 1 + reach), "right")
+        many = np.maximum(last - first, 0)
+        i = np.repeat(np.arange(len(c)), many)
+        j = np.repeat(first, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        return pa.table([c[i], p[i], n[i], p[j], n[j], o[i], (oq + n)[i], o[j], oq[j]], schema=_STEP)
+
+    return run
+
+
+def _steps(blocks: DataFrame, least: int, reach: int) -> DataFrame:
+    """(c, partner, p, q, n): both blocks of each step from a block to a later one that an earlier class takes too.
+
+    A step leads from one place of a first holder to one of another (or farther on), over at most ``reach`` characters and
+    over the blocks that lie between. The first class with a step stands for all that take it, so the rows are as many as the steps.
+    """
+    first = F.col("partner") < F.col("c")
+    at = blocks.select("c", "p", "n", F.when(first, F.col("partner")).otherwise(F.col("c")).alias("o"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("oq"))
+    step = at.repartition("c").sortWithinPartitions("c", "p").mapInArrow(per_groups(_following(least, reach), ["c"], _STEP), _STEP_DDL)
+    key = ["o", "oe", "o2", "oq2"]
+    rep = step.groupBy(*key).agg(F.min(F.struct("c", "p", "n", "p2", "n2")).alias("r"), F.max("c").alias("z")).where("r.c < z")
+    j = step.join(rep, key).where("c > r.c")
+    left, right = F.least(F.col("n"), F.col("r.n")), F.least(F.col("n2"), F.col("r.n2"))
+    both = F.array(
+        F.struct((F.col("p") + F.col("n") - left).alias("p"), (F.col("r.p") + F.col("r.n") - left).alias("q"), left.alias("n")),
+        F.struct(F.col("p2").alias("p"), F.col("r.p2").alias("q"), right.alias("n")),
+    )
+    return j.select("c", F.col("r.c").alias("partner"), F.inline(both))
+
 
-    The rows grow with the number of pairs, so with the square of the number of texts that hold one passage.
+def linked_passages(result: tuple[DataFrame, DataFrame, DataFrame], least: int = LEAST, gap_cost: float = 0.5, reach: int = 256) -> DataFrame:
+    """:func:`passages` of each class with the first holders of its blocks, and with the first class that takes the same steps between blocks.
+
+    A step leads from one block to a later one over at most ``reach`` characters. So a passage that several texts hold with an edit in
+    it is chained between each of them and the first of them, also where each half was held earlier by others. Rows grow with the
+    number of blocks; which texts share a block at all is told by :func:`links`.
     """
-    one = passages(shared_blocks(df, key, text, least, gap_cost, every=True), least)
-    turned = {"c": "partner", "partner": "c", "first_char": "partner_first", "last_char": "partner_last", "partner_first": "first_char", "partner_last": "last_char"}
-    both = F.array(F.struct(*one.columns), F.struct(*[F.col(turned.get(x, x)).alias(x) for x in one.columns]))
-    return one.select(F.inline(both))
+    members, classes, blocks = result
+    anchors = blocks.where("partner < c").select("c", "partner", "p", "q", "n").unionByName(_steps(blocks, least, reach))
+    chained = anchors.repartition("c", "partner").sortWithinPartitions("c", "partner").mapInArrow(per_groups(_blocks(least, gap_cost), ["c", "partner"], _BLOCK), _BLOCK_DDL)
+    return passages((members, classes, cut_lineage(chained)), least)

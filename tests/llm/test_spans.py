@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from phonoduct.llm import spans
-from phonoduct.llm.spans import Fenwick, chain, coverage, edit_distance, linked_passages, passages, shared_blocks, shared_runs
+from phonoduct.llm.spans import Fenwick, chain, coverage, edit_distance, linked_passages, links, passages, shared_blocks, shared_runs
 
 SCHEMA = "doc_id bigint, text string, h string, c int"
 
@@ -50,12 +50,12 @@ def frame(spark, texts):
     return spark.createDataFrame([(k, t, "clash", 1) for k, t in texts.items()], SCHEMA)
 
 
-@pytest.mark.parametrize("segment", [1_000_000, 150])
-def test_against_brute_force(spark, monkeypatch, segment):
+@pytest.mark.parametrize(("segment", "sent"), [(1_000_000, 1_000_000), (1_000_000, 5), (150, 1_000_000), (150, 5)])
+def test_against_brute_force(spark, monkeypatch, segment, sent):
     monkeypatch.setattr(spans, "SEGMENT", segment)
     texts = corpus(segment)
     df = frame(spark, texts)
-    result = shared_blocks(df.unionByName(df.limit(20)))
+    result = shared_blocks(df.unionByName(df.limit(20)), sent_seeds=sent)
     got = shared_runs(result).collect()
     assert {tuple(r) for r in got} == brute(texts) and len(got) == len(brute(texts))
     per = {}
@@ -69,7 +69,7 @@ def test_nothing_shared(spark):
     df = frame(spark, {1: None, 2: "", 3: "x" * 63, 4: "y" * 200})
     assert shared_runs(shared_blocks(df)).count() == 0
     assert shared_runs(shared_blocks(df.limit(0))).count() == 0
-    assert passages(shared_blocks(df)).count() == 0
+    assert passages(shared_blocks(df)).count() == 0 and linked_passages(shared_blocks(df)).count() == 0 and links(shared_blocks(df)).count() == 0
 
 
 def test_passages_go_on_over_small_edits(spark):
@@ -82,30 +82,63 @@ def test_passages_go_on_over_small_edits(spark):
     assert (x.first_char, x.last_char, x.partner_first, x.partner_last, x.edits) == (0, 399, 30, 428, 3) and x.exact_chars == 397
 
 
-def test_three_versions_are_all_linked(spark):
-    r = random.Random(5)
-    base = "".join(r.choice("abcdefghijklmnop ") for _ in range(300))
-    texts = {1: base, 2: base[:100] + "##" + base[100:], 3: base[:200] + "#" + base[201:]}
-    got = {(x.c, x.partner): x.edits for x in linked_passages(frame(spark, texts)).collect()}
-    assert got == {(1, 2): 2, (2, 1): 2, (1, 3): 1, (3, 1): 1, (2, 3): 3, (3, 2): 3}
+def first_holders(texts, least=64):
+    """{(class, window): (first class that holds it, its first place there)} of windows that several classes hold."""
+    first, where = {}, {}
+    for k, t in sorted(texts.items()):
+        first.setdefault(t, k)
+    for t, k in first.items():
+        for i in range(len(t or "") - least + 1):
+            where.setdefault(t[i : i + least], []).append((k, i))
+    return {(k, i): min(w) for w in where.values() if len({k for k, _ in w}) > 1 for k, i in w}
 
 
 @pytest.mark.parametrize("segment", [1_000_000, 150])
-def test_every_pair_with_a_shared_window_is_linked(spark, monkeypatch, segment):
+def test_texts_share_a_window_just_if_their_links_say_so(spark, monkeypatch, segment):
     monkeypatch.setattr(spans, "SEGMENT", segment)
     texts = corpus(segment)
-    first = {}
-    for k, t in texts.items():
-        first.setdefault(t, k)
-    where = {}
-    for t, k in first.items():
-        for i in range(len(t or "") - 63):
-            where.setdefault(t[i : i + 64], set()).add((k, i))
-    want = {(a, p, b, q) for w in where.values() for a, p in w for b, q in w if a < b}
-    _, _, blocks = shared_blocks(frame(spark, texts), every=True)
-    got = [(b.c, b.p + i, b.partner, b.q + i) for b in blocks.collect() for i in range(b.n)]
+    got = [(r.c, r.first_char + i, r.holder, r.holder_first + i) for r in links(shared_blocks(frame(spark, texts))).collect() for i in range(r.last_char - r.first_char - 62)]
+    want = {(c, i, k, q) for (c, i), (k, q) in first_holders(texts).items() if k < c}
     assert len(got) == len(set(got)) and set(got) == want
-    assert {(x.c, x.partner) for x in linked_passages(frame(spark, texts)).collect()} == {p for a, _, b, _ in want for p in ((a, b), (b, a))}
+
+
+def linked(spark, texts, **options):
+    return {(x.c, x.partner): x for x in linked_passages(shared_blocks(frame(spark, texts)), **options).collect()}
+
+
+def test_halves_held_by_others_still_make_one_passage(spark):
+    r = random.Random(7)
+    one, two = ("".join(r.choice("abcdefghijklmnop ") for _ in range(200)) for _ in range(2))
+    got = linked(spark, {0: one, 5: one + "kitten" + two, 7: one + "sitting" + two})
+    assert set(got) == {(5, 0), (7, 0), (7, 5)}
+    x = got[7, 5]
+    assert (x.first_char, x.last_char, x.partner_first, x.partner_last, x.exact_chars, x.edits) == (0, 406, 0, 405, 400, 3)
+
+
+def test_versions_are_chained_with_the_first(spark):
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefghijklmnop ") for _ in range(300))
+    got = linked(spark, {1: base, 2: base[:100] + "##" + base[100:], 3: base[:200] + "#" + base[201:]})
+    assert {k: x.edits for k, x in got.items()} == {(2, 1): 2, (3, 1): 1}
+
+
+def test_nearly_all_edited_passages_are_chained_whole(spark):
+    """Originals spread over posts, quoted with edits and in pieces that others quote too; each edited quote comes out as one passage."""
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    pieces = [text(r.randrange(100, 300)) for _ in range(30)]
+    texts, k = {i: text(50) + x + text(50) for i, x in enumerate(pieces)}, 100
+    planted = []
+    for _ in range(60):
+        a, b = r.sample(range(30), 2)
+        edit = lambda: "".join(r.choice("xyz") for _ in range(r.randrange(1, 20)))
+        for _ in range(2):  # two posts join the same two pieces, each in its own way
+            texts[k] = text(20) + pieces[a] + edit() + pieces[b] + text(20)
+            k += 1
+        planted.append((k - 1, k - 2, len(pieces[a]) + len(pieces[b])))
+    got = linked(spark, texts)
+    hit = [got[c, q].exact_chars >= n and got[c, q].edits > 0 for c, q, n in planted if (c, q) in got]
+    assert sum(hit) >= 0.9 * len(planted)
 
 
 def test_chains_are_best_and_cover_all_blocks():
@@ -126,5 +159,20 @@ def test_fenwick_prefix_maxima():
         assert t.top(j)[0] == want
 
 
+def test_edit_distance_of_long_gaps():
+    r = random.Random(3)
+    a = "".join(r.choice("abc") for _ in range(700))
+    b = list(a)
+    for i in sorted(r.sample(range(700), 40), reverse=True):
+        b[i : i + 1] = r.choice([[], ["x"], ["a", "y"]])
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    assert edit_distance(a, "".join(b)) == row[-1] and edit_distance(a, "") == 700
+
+
 def test_edit_distance():
     assert [edit_distance(a, b) for a, b in (("", ""), ("", "abc"), ("kitten", "sitting"), ("жук", "жар"), ("same", "same"))] == [0, 3, 3, 2, 0]
