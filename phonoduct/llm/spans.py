@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonoduct.runtime import cut_lineage, per_groups
@@ -137,7 +137,7 @@ def _seeds(least: int, places: bool = False):
 
 
 def _kept(least: int, common):
-    """(h, f, c, p, n, first, ws): stretches with a kept seed, the fingerprint of their text and of each window; first: not yet seen in its text.
+    """(h, f, c, p, n, ws): stretches with a kept seed, the fingerprint of their text and of each window.
 
     ``common`` has the kept seeds, sorted; without it a third column lists the windows with which a text's kept stretches begin.
     """
@@ -145,7 +145,6 @@ def _kept(least: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            row, seen = -1, set()  # of the text that goes on from the segment before
             for chars, rows, at in _segments(b.column(1).to_pylist(), least):
                 i, n, h = stretches(chars, _whole(rows, at, least), least)
                 if common is not None:
@@ -156,21 +155,11 @@ def _kept(least: int, common):
                     keep = np.isin((rows[i].astype(np.int64) << 32) | at[i], starts)
                 i, n, h = i[keep], n[keep], h[keep]
                 f = _PRINT.spans(chars, i, i + n + least - 1).view(np.int64)
-                r = rows[i]
-                order = np.lexsort((i, f, h, r))
-                new = np.append(True, (np.diff(r[order]) != 0) | (np.diff(h[order]) != 0) | (np.diff(f[order]) != 0))[: len(order)]
-                first = np.zeros(len(i), bool)
-                first[order[new]] = True
-                for j in np.flatnonzero((r == row) & first):
-                    first[j] = (h[j], f[j]) not in seen
-                if len(rows) and rows[-1] != row:
-                    row, seen = rows[-1], set()
-                seen |= {(h[j], f[j]) for j in np.flatnonzero(r == row)} if at[-1] >= SEGMENT - 1 else set()
                 into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at_w = np.repeat(i, n) + into
                 ws = _PRINT.spans(chars, at_w, at_w + least).view(np.int64)
                 ws = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ws))
-                out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(f), pa.array(ids[r]), pa.array(at[i]), pa.array(n.astype(np.int32)), pa.array(first), ws], ["h", "f", "c", "p", "n", "first", "ws"])
+                out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(f), pa.array(ids[rows[i]]), pa.array(at[i]), pa.array(n.astype(np.int32)), ws], ["h", "f", "c", "p", "n", "ws"])
                 yield from (out.slice(k, 10_000) for k in range(0, out.num_rows, 10_000))
 
     return run
@@ -279,7 +268,7 @@ SENT_SEEDS = 1_000_000
 def _kept_stretches(classes: DataFrame, least: int, sent: int) -> DataFrame:
     texts = classes.select("c", "t")
     common = cut_lineage(texts.mapInArrow(_seeds(least), "h bigint, c bigint").groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("h"))
-    schema = "h bigint, f bigint, c bigint, p int, n int, first boolean, ws array<bigint>"
+    schema = "h bigint, f bigint, c bigint, p int, n int, ws array<bigint>"
     few = [r[0] for r in common.limit(sent + 1).collect()]  # bounded by `sent`
     if not few:
         return texts.limit(0).mapInArrow(_kept(least, None), schema)
@@ -293,23 +282,46 @@ def _broadcast(df: DataFrame, values: list[int]):
     return df.sparkSession.sparkContext.broadcast(np.sort(np.array(values, np.int64)))
 
 
-def _anchors(kept: DataFrame) -> DataFrame:
-    """(c, partner, p, q, n): n consecutive windows with the first class that holds them; those of the first class itself with the last."""
-    key = ["h", "f"]
-    one = F.when(F.col("first"), F.col("c"))
-    equal = kept.groupBy(*key).agg(F.min(one).alias("c0"), F.min_by("p", one).alias("q0"), F.max(one).alias("c1"), F.max_by("p", one).alias("q1"), F.max("n").alias("n"))
+class _Places:
+    """A class and a character of it as one number, in order of both, so that least and greatest places are plain sums of a hash aggregate.
+
+    Numbers are bigint where all keys and lengths fit, else decimal.
+    """
+
+    def __init__(self, classes: DataFrame):
+        r = classes.agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max(F.length("t")).alias("n")).collect()[0]  # one row
+        small = r.a is None or (-(1 << 38) <= r.a and r.b < 1 << 38 and r.n < 1 << 24)
+        self.kind, self.span = ("bigint", 1 << 24) if small else ("decimal(38,0)", 1 << 31)
+
+    def of(self, c: Column, p: Column) -> Column:
+        return (c.cast(self.kind) * F.lit(self.span).cast(self.kind) + p).cast(self.kind)
+
+    def split(self, x: str) -> tuple[Column, Column]:
+        p = F.expr(f"pmod({x}, cast({self.span} as {self.kind}))")
+        return F.expr(f"cast(({x} - pmod({x}, cast({self.span} as {self.kind}))) div {self.span} as bigint)"), p.cast("int")
+
+
+def _anchors(kept: DataFrame, places: _Places) -> DataFrame:
+    """(c, partner, p, q, n): n consecutive windows with the first class that holds them; those of the first class itself with the last.
+
+    ``kept`` has (h, f, x, n, ws), x a place.
+    """
+    key, kind = ["h", "f"], places.kind
+    equal = kept.groupBy(*key).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.max("n").alias("n"))
     several = equal.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     equal = equal.join(several, "h", "left")
-    alone = equal.where("texts is null and c0 < c1").select(*key, F.lit(0).alias("off"), "n", "c0", "q0", "c1", "q1")
-
-    copies = kept.where("first").select(*key, "c", "p", "ws").join(equal.where("texts is not null").select(*key, "c0", "q0", "c1", "q1"), key).where("c = c0 and p = q0")
-    windows = copies.select(*key, F.posexplode("ws").alias("off", "w"), "c0", "q0", "c1", "q1")
-    place = lambda c, q: F.struct(F.col(c), (F.col(q) + F.col("off")).alias(q))
-    shared = windows.groupBy("h", "w").agg(F.min(place("c0", "q0")).alias("a"), F.max(place("c1", "q1")).alias("b")).where("a.c0 < b.c1")
-    hits = windows.select(*key, "off", "w").join(shared, ["h", "w"]).select(*key, "off", "a.c0", "a.q0", "b.c1", "b.q1")
+    (a, qa), (b, qb) = places.split("a"), places.split("b")
+    ends = [a.alias("c0"), qa.alias("q0"), b.alias("c1"), qb.alias("q1")]
+    alone = equal.where(F.col("texts").isNull() & (a < b)).select(*key, F.lit(0).alias("off"), "n", *ends)
+
+    copies = kept.select(*key, "x", "ws").join(equal.where("texts is not null").select(*key, "a", "b"), key).where("x = a")
+    windows = copies.select(*key, F.posexplode("ws").alias("off", "w"), "a", "b")
+    shared = windows.groupBy("h", "w").agg(F.min((F.col("a") + F.col("off")).cast(kind)).alias("a"), F.max((F.col("b") + F.col("off")).cast(kind)).alias("b")).where(a < b)
+    hits = windows.select(*key, "off", "w").join(shared, ["h", "w"]).select(*key, "off", *ends)
     runs = hits.repartition(*key).sortWithinPartitions(*key, "off").mapInArrow(per_groups(_together, key, _RUN), "h bigint, f bigint, off int, n int, c0 bigint, q0 int, c1 bigint, q1 int")
 
-    d = kept.select(*key, "c", "p").join(alone.unionByName(runs), key)
+    c, p = places.split("x")
+    d = kept.select(*key, c.alias("c"), p.alias("p")).join(alone.unionByName(runs), key)
     own = F.col("c") == F.col("c0")
     return d.select("c", F.when(own, F.col("c1")).otherwise(F.col("c0")).alias("partner"), (F.col("p") + F.col("off")).alias("p"), F.when(own, F.col("q1")).otherwise(F.col("q0")).alias("q"), "n")
 
@@ -332,7 +344,9 @@ def shared_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     d = d.withColumn("h", F.sha2("t", 256))
     classes = d.groupBy("h").agg(F.min("k").alias("c"), F.first("t").alias("t"), (F.min("k") < F.max("k")).alias("copies"))
     classes = cut_lineage(classes.select("c", "h", "t", "copies"))
-    anchors = _anchors(cut_lineage(_kept_stretches(classes, least, sent_seeds)))
+    places = _Places(classes)
+    kept = cut_lineage(_kept_stretches(classes, least, sent_seeds).select("h", "f", places.of(F.col("c"), F.col("p")).alias("x"), "n", "ws"))
+    anchors = _anchors(kept, places)
     blocks = anchors.repartition("c").sortWithinPartitions("c").mapInArrow(per_groups(_blocks(least, gap_cost), ["c"], _BLOCK), _BLOCK_DDL)
     return d.select(F.col("k").alias(key), "h").distinct(), classes, cut_lineage(blocks)
 

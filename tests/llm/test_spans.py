@@ -102,6 +102,17 @@ def test_texts_share_a_window_just_if_their_links_say_so(spark, monkeypatch, seg
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_keys_of_any_size_give_the_same_links(spark):
+    texts = corpus(3)
+    far = [-(1 << 62), 1 << 61, 5]
+    move = lambda k: far[k % 3] + k
+    order = lambda k: sorted(map(move, texts)).index(move(k))
+    small = {order(k): t for k, t in texts.items()}
+    back = {order(k): move(k) for k in texts}
+    get = lambda t: {tuple(r) for r in links(shared_blocks(frame(spark, t))).collect()}
+    assert get({move(k): t for k, t in texts.items()}) == {(back[c], a, z, back[o], q) for c, a, z, o, q in get(small)}
+
+
 def linked(spark, texts, **options):
     return {(x.c, x.partner): x for x in linked_passages(shared_blocks(frame(spark, texts)), **options).collect()}
 
