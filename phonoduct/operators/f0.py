@@ -6,12 +6,16 @@ The stored form with 0 for unvoiced frames is made and read at the boundary only
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonoduct.operators.ranks import exact_percentiles
 from phonoduct.operators.series import KEY, with_nearest
+from phonoduct.runtime import cut_lineage
 
 PERCENTS = [0.0, 0.1, 0.3, 0.5, 1.0, 99.0, 99.5, 99.7, 99.9, 100.0]
 STATISTICS = ["mean", "median", "std", "min", "max", "q001", "q003", "q005", "q01", "q99", "q995", "q997", "q999"]
@@ -90,16 +94,25 @@ def convert(
 
 def percentiles(df: DataFrame, percents: Sequence[float] = PERCENTS) -> DataFrame:
     """(percent, hz int): percentiles of the voiced frequencies, rounded half to even."""
-    p = F.percentile("hz", F.array(*[F.lit(q / 100) for q in percents]))
-    at = F.array(*[F.lit(float(q)) for q in percents])
-    return hertz(df).agg(p.alias("p")).select(F.inline(F.arrays_zip(at.alias("percent"), F.col("p").alias("hz")))).select("percent", F.rint("hz").cast("int").alias("hz"))
+    q = exact_percentiles(hertz(df), [], "hz", [p / 100 for p in percents])
+    at = F.array(*[F.lit(float(p)) for p in percents])
+    return q.select(F.inline(F.arrays_zip(at.alias("percent"), F.col("q").alias("hz")))).select("percent", F.rint("hz").cast("int").alias("hz"))
 
 
 def log_statistics(df: DataFrame, lf0: str = "lf0", by: Sequence[str] = ()) -> DataFrame:
-    """The 13 statistics of ln f0, one row, or one per group."""
-    q = F.percentile(lf0, F.array(*[F.lit(x) for x in (0.001, 0.003, 0.005, 0.01, 0.99, 0.995, 0.997, 0.999)]))
-    a = df.groupBy(*by).agg(F.avg(lf0).alias("mean"), F.median(lf0).alias("median"), F.stddev_pop(lf0).alias("std"), F.min(lf0).alias("min"), F.max(lf0).alias("max"), q.alias("q"))
-    return a.select(*by, "mean", "median", "std", "min", "max", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(STATISTICS[5:])])
+    """The 13 statistics of ln f0, one row, or one per group.
+
+    Percentiles are exact, by counts of cells and values (:func:`exact_percentiles`), as a hot group's values fit no task.
+    """
+    by = list(by)
+    q = exact_percentiles(df, by, lf0, [0.5, 0.001, 0.003, 0.005, 0.01, 0.99, 0.995, 0.997, 0.999])
+    a = df.groupBy(*by).agg(F.avg(lf0).alias("mean"), F.stddev_pop(lf0).alias("std"), F.min(lf0).alias("min"), F.max(lf0).alias("max"))
+    if by:
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"q.{k}")) for k in by]
+        a = a.alias("a").join(q.alias("q"), reduce(Column.__and__, same), "left").select("a.*", "q.q")
+    else:
+        a = a.join(F.broadcast(q), how="left")  # one row each
+    return a.select(*by, "mean", F.get("q", F.lit(0)).alias("median"), "std", "min", "max", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(STATISTICS[5:], 1)])
 
 
 # ---------------------------------------------------------------- range finding
@@ -187,19 +200,28 @@ def weighted_percentiles(df: DataFrame, value: str, weight: str, percents: Seque
 
 
 def duration_groups(files: DataFrame, target: float, seed: int = 0, key: str = KEY, seconds: str = "seconds") -> DataFrame:
-    """(key, grp): shuffle files (seeded) and close a group whenever its running sum exceeds ``target``.
+    """(key, grp): shuffle files (by a digest of key and seed) and close a group whenever its running sum exceeds ``target``.
 
-    What is left over at the end is dropped unless no group was closed. The list is one row per file, and the range finder
-    takes at most a set number of files, so it is folded in one array.
+    What is left over at the end is dropped unless no group was closed. Where a group closes depends on all groups before it, so
+    the list, one row per file, passes one task in order; that task holds no more than its batch and the open group's sum.
     """
-    order = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    listed = files.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(key).alias("k"), F.col(seconds).cast("double").alias("s")))).alias("f"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("g"), F.expr("cast(array() as array<int>)").alias("gs"))
-
-    def step(a: Column, x: Column) -> Column:
-        total = a["sum"] + x["s"]
-        return F.struct(F.when(total > target, 0.0).otherwise(total).alias("sum"), (a["g"] + (total > target).cast("int")).alias("g"), F.concat(a["gs"], F.array(a["g"])).alias("gs"))
-
-    d = listed.select("f", F.aggregate("f", start, step).alias("a"))
-    d = d.select(F.explode(F.arrays_zip(F.col("f.k").alias("k"), F.col("a.gs").alias("g"))).alias("z"), F.col("a.g").alias("closed"))
-    return d.where((F.col("closed") == 0) | (F.col("z.g") < F.col("closed"))).select(F.col("z.k").alias(key), F.col("z.g").alias("grp"))
+    kind = dict(files.dtypes)[key]
+    shuffled = files.select(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))).alias("o"), F.col(key).alias("k"), F.col(seconds).cast("double").alias("s"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, group = 0.0, 0
+        for b in batches:
+            groups = []
+            for x in b.column(1).to_pylist():
+                total += x or 0.0
+                groups.append(group)
+                if total > target:
+                    total, group = 0.0, group + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(groups, pa.int32())], ["k", "grp"])
+
+    d = cut_lineage(shuffled.repartition(1).sortWithinPartitions("o", "k").select("k", "s").mapInArrow(fold, f"k {kind}, grp int"))
+    # only the last group can be left open
+    sums = d.join(files.select(F.col(key).alias("k"), F.col(seconds).cast("double").alias("s")), "k").groupBy("grp").agg(F.sum("s").alias("s"))
+    open_ = sums.where(F.coalesce("s", F.lit(0.0)) <= target).select("grp")
+    closed = sums.where(F.col("s") > target).limit(1).count()
+    return (d.join(F.broadcast(open_), "grp", "left_anti") if closed else d).select(F.col("k").alias(key), "grp")

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonoduct.operators.ranks import numbered
+
 KEY = "series_id"
 
 
@@ -94,7 +96,7 @@ def resample_linear(df: DataFrame, source: float, target: float, index: int = 0,
     """
     step = source / target
     n = lengths(df).select(KEY, "n", F.lit(length).cast("bigint").alias("m") if length is not None else (F.col("n") / source * target).cast("bigint").alias("m"))
-    d = df.withColumn("w", F.lead("v").over(Window.partitionBy(KEY).orderBy("idx"))).join(n, KEY)
+    d = with_neighbours(df).withColumnRenamed("next", "w").drop("prev").join(n, KEY)
     d = d.where((F.col("idx") <= F.col("n") - 2) | (F.col("n") == 1))
     final = F.col("idx") >= F.col("n") - 2
     first = F.greatest(F.ceil(F.col("idx") / step - index).cast("bigint") - 1, F.lit(0))
@@ -272,21 +274,21 @@ def zip_by_position(left: DataFrame, right: DataFrame, left_key: str, right_key:
     A stand-in for file lists that are paired by order; joining by key is the better way. The lists hold one row per
     series, and ``strict`` raises where they differ in length.
     """
-    number = lambda d, k, n: d.select(F.col(k).alias(n)).distinct().withColumn("pos", F.row_number().over(Window.orderBy(n)) - 1)
-    a, b = number(left, left_key, "left_key"), number(right, right_key, "right_key")
-    if strict and a.count() != b.count():
+    (a, m), (b, n) = (numbered(d.select(F.col(k).alias(name)).distinct(), [name], name="pos") for d, k, name in ((left, left_key, "left_key"), (right, right_key, "right_key")))
+    if strict and m != n:
         raise AlignmentError("the sources differ in number")
     return a.join(b, "pos").select("pos", "left_key", "right_key")
 
 
 def evenly_spaced(keys: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` keys, evenly spaced in their order: those at int(linspace(0, n - 1, most))."""
-    ranked = keys.select(key).distinct().withColumn("pos", F.row_number().over(Window.orderBy(key)) - 1)
-    n = keys.select(F.count_distinct(key).alias("n"))
-    at = n.select("n", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(most)) - 1)).alias("k")).select(
-        F.when(F.col("n") <= most, F.col("k")).otherwise((F.col("k") * ((F.col("n") - 1) / F.lit(max(most - 1, 1)))).cast("bigint")).alias("pos")
-    )
-    return ranked.join(at.distinct(), "pos").select(key)
+    ranked, n = numbered(keys.select(key).distinct(), [key], name="pos")
+    if n <= most:
+        return ranked.select(key)
+    step = (n - 1) / max(most - 1, 1)
+    k = F.rint(F.col("pos") / F.lit(step))  # pos is int(k * step) only for this k or the next
+    wanted = lambda k: (k <= most - 1) & (F.floor(k * F.lit(step)) == F.col("pos"))
+    return ranked.where((wanted(k) | wanted(k + 1)) if most > 1 else F.col("pos") == 0).select(key)
 
 
 # ---------------------------------------------------------------- neighbours of a frame, also in a very long series

@@ -26,20 +26,23 @@ def _apply(kernel: Callable[[np.ndarray, float], object], kind: str) -> Callable
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Waves over all cores. The kernels cost far more than moving their input; a scan of many splits stays where it is."""
+    """A scan of waves over all cores, before any kernel; one of many splits stays where it is.
+
+    For scans only: counting the partitions of anything that was shuffled would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, KEY)
 
 
 def resample(df: DataFrame, target: int) -> DataFrame:
     udf = _apply(lambda x, r: spectral.resample(x, r, target).astype("f4"), "array<float>")
-    return spread(df).select(KEY, F.lit(target).alias("sampling_rate"), F.when(F.col("sampling_rate") == target, F.col("samples")).otherwise(udf("samples", "sampling_rate")).alias("samples"))
+    return df.select(KEY, F.lit(target).alias("sampling_rate"), F.when(F.col("sampling_rate") == target, F.col("samples")).otherwise(udf("samples", "sampling_rate")).alias("samples"))
 
 
 def melspectrogram(df: DataFrame, hop: int = 256, **options) -> DataFrame:
     """(series_id, rate, array): log-mel frames, rate sampling_rate / hop."""
     udf = _apply(lambda x, r: list(spectral.log_mel(x, int(r), hop=hop, **options)), MATRIX)
-    return spread(df).select(KEY, (F.col("sampling_rate") / hop).alias("rate"), udf("samples", "sampling_rate").alias("array"))
+    return df.select(KEY, (F.col("sampling_rate") / hop).alias("rate"), udf("samples", "sampling_rate").alias("array"))
 
 
 def mel_extent(df: DataFrame, eliminate_silence: bool = False, **options) -> DataFrame:
@@ -54,7 +57,7 @@ def mel_extent(df: DataFrame, eliminate_silence: bool = False, **options) -> Dat
 def f0(df: DataFrame, frame_period: float = 5.0, f0_floor: float = 71.0, f0_ceil: float = 800.0, f0_type: str = "world") -> DataFrame:
     """(series_id, idx, hz) every ``frame_period`` ms, 0 where unvoiced."""
     udf = _apply(lambda x, r: pitch.track(x, r, frame_period, f0_floor, f0_ceil, f0_type), "array<double>")
-    return spread(df).select(KEY, F.posexplode(udf("samples", "sampling_rate")).alias("idx", "hz")).withColumn("idx", F.col("idx").cast("bigint"))
+    return df.select(KEY, F.posexplode(udf("samples", "sampling_rate")).alias("idx", "hz")).withColumn("idx", F.col("idx").cast("bigint"))
 
 
 def loudness(df: DataFrame, rate: int = 100, calibration: float = 1.0, field: str = "diffuse") -> DataFrame:
@@ -68,7 +71,7 @@ def loudness(df: DataFrame, rate: int = 100, calibration: float = 1.0, field: st
         return np.median(np.lib.stride_tricks.sliding_window_view(p, size)[::size], axis=1) if len(p) >= size else np.zeros(0)
 
     run = F.pandas_udf("array<double>")(_sones(calibration, field, middle))
-    return spread(df).select(KEY, F.lit(float(rate)).alias("rate"), run("samples", "sampling_rate").alias("array"))
+    return df.select(KEY, F.lit(float(rate)).alias("rate"), run("samples", "sampling_rate").alias("array"))
 
 
 def _sones(calibration: float, field: str, result: Callable[[np.ndarray], object]):
@@ -86,7 +89,7 @@ def loudness_percentiles(df: DataFrame, calibration: float = 1.0, field: str = "
     """(percent, loudness): percentiles over waves of their loudest moment."""
     q = [0, 1, 5, 25, 50, 75, 95, 99, 100]
     top = F.pandas_udf("double")(_sones(calibration, field, lambda n: float(n.max())))
-    p = spread(df).select(top("samples", "sampling_rate").alias("m")).agg(F.percentile("m", F.array(*[F.lit(x / 100) for x in q])).alias("p"))
+    p = df.select(top("samples", "sampling_rate").alias("m")).agg(F.percentile("m", F.array(*[F.lit(x / 100) for x in q])).alias("p"))
     return p.select(F.inline(F.arrays_zip(F.array(*[F.lit(float(x)) for x in q]).alias("percent"), F.col("p").alias("loudness"))))
 
 
@@ -97,7 +100,7 @@ def ebur128(df: DataFrame) -> DataFrame:
         rows = [vars(ebu.ebur128(np.asarray(s, float), float(r))) if s is not None and len(s) and r else {} for s, r in zip(samples, rate)]
         return pd.DataFrame(rows, columns=["i", "lra_low", "lra_high"], dtype=float)
 
-    d = spread(df).select(KEY, run("samples", "sampling_rate").alias("e")).select(KEY, "e.*")
+    d = df.select(KEY, run("samples", "sampling_rate").alias("e")).select(KEY, "e.*")
     return d.withColumn("text", F.format_string("I=%.2f, LRA_low=%.2f, LRA_high=%.2f", "i", "lra_low", "lra_high"))
 
 

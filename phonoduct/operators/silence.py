@@ -5,23 +5,20 @@ Samples add up to energies of hops first, a table smaller by the hop; levels, ru
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonoduct.operators.intervals import periods_and_gaps
+from phonoduct.operators.ranks import numbered
 from phonoduct.operators.series import KEY, lengths
 
 
 def offsets(df: DataFrame) -> DataFrame:
     """(series_id, n, offset): where each series begins in the corpus in order of series_id.
 
-    Sums run over the first characters of the ids, then within them, so that no task sees all series.
+    Ranges of ids are summed each for itself, so that no task sees all series.
     """
-    n = lengths(df).withColumn("_b", F.substring(KEY, 1, 12))
-    b = n.groupBy("_b").agg(F.sum("n").alias("s"))
-    b = b.select("_b", F.coalesce(F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy(KEY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.withColumn("_o", inner).join(b, "_b").select(KEY, "n", (F.col("base") + F.col("_o")).alias("offset"))
+    return numbered(lengths(df), [KEY], "n", "offset")[0].select(KEY, "n", "offset")
 
 
 def loud_frames(df: DataFrame, top_db: float = 60, frame_length: int = 2048, hop: int = 512, per_series: bool = False) -> DataFrame:
@@ -78,7 +75,4 @@ def split_corpus(df: DataFrame, sampling_rate: int, top_db: float = 60, min_sile
     cut = spread.join(ends, "b").where((F.col("c") > F.col("start") + 2 * side) & (F.col("c") < F.col("end") - 2 * side)).groupBy("start", "end").agg(F.array_sort(F.collect_set("c")).alias("cs"))
     d = clips.join(cut, ["start", "end"], "left").withColumn("cs", F.coalesce("cs", F.expr("cast(array() as array<bigint>)")))
     d = d.select(F.explode(F.zip_with(F.concat(F.array("start"), "cs"), F.concat("cs", F.array("end")), lambda a, z: F.struct(a.alias("start"), z.alias("end")))).alias("s")).select("s.start", "s.end")
-    d = d.withColumn("_b", F.floor(F.col("start") / F.lit(block)))
-    base = d.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).select("_b", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    number = F.col("base") + F.row_number().over(Window.partitionBy("_b").orderBy("start", "end")) - 1
-    return d.join(base, "_b").withColumn("number", number).select("number", F.concat(F.lit(prefix), F.col("number").cast("string"), F.lit(".wav")).alias("name"), "start", "end")
+    return numbered(d, ["start", "end"], name="number")[0].select("number", F.concat(F.lit(prefix), F.col("number").cast("string"), F.lit(".wav")).alias("name"), "start", "end")

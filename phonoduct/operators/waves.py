@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,18 +84,20 @@ def pre_emphasis(df: DataFrame, p: float) -> DataFrame:
 def framed_rms(df: DataFrame, frame_length: int, hop: int) -> DataFrame:
     """(series_id, idx, rms) of centred frames over the zero-padded wave; 1 + n // hop frames for even lengths.
 
-    Padding adds no energy, so only real samples are sent to frames, and each frame divides by its full length.
+    Samples add up to energies of blocks first, which frames are made of: as long as frame, hop and half a frame divide by.
+    So a table smaller by the block is shuffled, and once. Padding adds no energy, so each frame divides by its full length.
     """
     pad = frame_length // 2
-    n = lengths(df)
+    size = math.gcd(math.gcd(frame_length, hop), pad)
+    blocks = df.groupBy(KEY, F.floor(F.col("idx") / F.lit(size)).alias("b")).agg(F.sum(F.col("v") * F.col("v")).alias("e"), F.max("idx").alias("z"))
     count = (F.floor((F.col("n") + 2 * pad - frame_length) / F.lit(hop)) + 1).cast("bigint")
-    j = F.col("idx") + pad
-    d = df.join(n.select(KEY, count.alias("count")), KEY)
-    first = F.greatest(F.ceil((j - frame_length + 1) / F.lit(hop)), F.lit(0)).cast("bigint")
-    last = F.least(F.floor(j / F.lit(hop)), F.col("count") - 1).cast("bigint")
-    d = d.where(first <= last).select(KEY, F.explode(F.sequence(first, last)).alias("idx"), "v")
-    power = d.groupBy(KEY, "idx").agg(F.sum(F.col("v") * F.col("v")).alias("e"))
-    every = n.where(count > 0).select(KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("idx"))
+    n = blocks.groupBy(KEY).agg((F.max("z") + 1).alias("n")).select(KEY, count.alias("count")).where("count > 0")
+    j = F.col("b") + pad // size  # block j lies in the frames k with k * hop <= j * size < k * hop + frame_length
+    first = F.greatest(F.ceil((j * size - frame_length + size) / F.lit(hop)), F.lit(0)).cast("bigint")
+    last = F.floor(j * size / F.lit(hop)).cast("bigint")
+    parts = blocks.where(first <= last).select(KEY, F.explode(F.sequence(first, last)).alias("idx"), "e")
+    every = n.select(KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)).alias("idx"))  # frames of nulls only, too
+    power = parts.groupBy(KEY, "idx").agg(F.sum("e").alias("e"))
     return every.join(power, [KEY, "idx"], "left").select(KEY, "idx", F.sqrt(F.coalesce("e", F.lit(0.0)) / frame_length).alias("rms"))
 
 

@@ -220,7 +220,8 @@ def d5_length_spread(spark, d):
 p as (select series_id left_key, row_number() over (order by series_id) - 1 pos from x), q as (select series_id right_key, row_number() over (order by series_id) - 1 pos from y)
 select cast(pos as integer) pos, left_key, right_key from p join q using (pos)""")
 def d4_zip_by_position(spark, d):
-    return S.zip_by_position(source(spark, d, "view"), source(spark, d, "click"), "series_id", "series_id", strict=False)
+    z = S.zip_by_position(source(spark, d, "view"), source(spark, d, "click"), "series_id", "series_id", strict=False)
+    return z.withColumn("pos", F.col("pos").cast("int"))
 
 
 @query("c8_evenly_spaced", "with " + EVENTS + """, r as (select series_id, row_number() over (order by series_id) - 1 pos, count(*) over () c from n)
@@ -333,7 +334,12 @@ def e8_weighted_percentiles(spark, d):
     return f0.weighted_percentiles(f0.unit_volume(weighted(spark, d)), "hz", "norm_volume", (0.1, 50, 99.9)).select("percent", *_r("value"))
 
 
-@query("e10_duration_groups")
+@query("e10_duration_groups", "with recursive " + EVENTS + """,
+f as (select series_id, n / 1e2 s, row_number() over (order by md5(series_id || '0'), series_id) k from n),
+g as (select 0::bigint k, ''::varchar series_id, 0::bigint g, 0::double t union all
+  select f.k, f.series_id, case when g.t > 5 then g.g + 1 else g.g end, case when g.t > 5 then 0 else g.t end + f.s from g join f on f.k = g.k + 1),
+c as (select count(*) c from g where t > 5)
+select series_id, cast(g as integer) grp from g, c where k > 0 and (c = 0 or g < c)""")
 def e10_duration_groups(spark, d):
     files = events(spark, d).groupBy("series_id").agg((F.count(F.lit(1)) / 100).alias("seconds"))
     return f0.duration_groups(files, 5.0)

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 def packed(spark: SparkSession, d: str) -> DataFrame:
     """Each embedding repeated to a wave of half a second."""
     e = table(spark, d, "embeddings")
-    return e.select(F.format_string("%08d", "vec_id").alias("series_id"), F.lit(RATE).alias("sampling_rate"), F.flatten(F.array_repeat("embedding", RATE // 128)).alias("samples"))
+    return signals.spread(e.select(F.format_string("%08d", "vec_id").alias("series_id"), F.lit(RATE).alias("sampling_rate"), F.flatten(F.array_repeat("embedding", RATE // 128)).alias("samples")))
 
 
 _MEL = {"n_mels": 20, "n_fft": 512, "win_length": 256, "fmin": 50, "fmax": 4000}

@@ -94,7 +94,7 @@ def read_waves(spark: SparkSession, glob: str, sampling_rate: int | None = None)
     def run(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(r, x) for x, r in map(decode, content)], columns=["sampling_rate", "samples"])
 
-    d = check_stems(read_binary(spark, glob)).select(KEY, run("content").alias("w")).select(KEY, "w.*")
+    d = signals.spread(check_stems(read_binary(spark, glob))).select(KEY, run("content", KEY).alias("w")).select(KEY, "w.*")
     return d if sampling_rate is None else signals.resample(d, sampling_rate)
 
 
