@@ -6,6 +6,7 @@ resample_linear and collect also take arrays, a component at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -70,40 +71,63 @@ def wrap_arrays(df: DataFrame, array: str, rate: float | None = None, frame_seco
     return df.select(KEY, F.lit(float(r)).alias("rate"), a.alias("array"))
 
 
+# ---------------------------------------------------------------- rates
+
+Rate = float | DataFrame
+"""Frames a second: one for all, or (series_id, rate) where series differ. Series without a finite positive rate have no time and give no frames."""
+
+
+def with_rate(df: DataFrame, rate: Rate, name: str = "_rate") -> tuple[DataFrame, Column]:
+    """(df, the rate of its rows as an expression)."""
+    if not isinstance(rate, DataFrame):
+        return df, F.lit(float(rate))
+    r = F.col("rate").cast("double")
+    sound = rate.where((r > 0) & (r < float("inf"))).groupBy(KEY).agg(F.min(r).alias(name))  # of several sound rates the smallest counts
+    return df.join(sound, KEY), F.col(name)
+
+
+def scaled(rate: Rate, change) -> Rate:
+    """``change`` of a rate or of the rates of all series."""
+    return rate.select(KEY, change(F.col("rate")).alias("rate")) if isinstance(rate, DataFrame) else change(rate)
+
+
 # ---------------------------------------------------------------- resampling
 
-def resample_nearest(df: DataFrame, source: float, target: float, index: int = 0, length: int | Column | None = None, phase: float = 0.0) -> DataFrame:
+def resample_nearest(df: DataFrame, source: Rate, target: float, index: int = 0, length: int | Column | None = None, phase: float = 0.0) -> DataFrame:
     """Frame k of the result is frame int((phase + index + k) * source / target); int(n / source * target) frames by default.
 
-    Each source frame produces the result frames that show it, so no join is needed. ``phase`` in [0, 1) is fixed for
-    all series, which keeps results reproducible. ``length`` may be a column made of n.
+    Each source frame produces the result frames that show it, so no join with the result is needed. ``phase`` in [0, 1) is fixed
+    for all series, which keeps results reproducible. ``length`` may be a column made of n and, where rates differ, _rate.
     """
-    shift, step = phase + index, source / target
-    n = lengths(df).select(KEY, F.lit(length).cast("bigint").alias("m") if length is not None else (F.col("n") / source * target).cast("bigint").alias("m"))
+    n, source = with_rate(lengths(df), source)
+    shift = phase + index
+    n = n.select(KEY, source.alias("_source"), F.lit(length).cast("bigint").alias("m") if length is not None else (F.col("n") / source * target).cast("bigint").alias("m"))
+    source, step = F.col("_source"), F.col("_source") / F.lit(float(target))
     first = F.ceil(F.col("idx") / step - shift) - 1
     last = F.ceil((F.col("idx") + 1) / step - shift) + 1
     shown = F.filter(
         F.sequence(first.cast("bigint"), last.cast("bigint")),
-        lambda k: (k >= 0) & (k < F.col("m")) & (((k + F.lit(shift)) * F.lit(source) / F.lit(target)).cast("bigint") == F.col("idx")),
+        lambda k: (k >= 0) & (k < F.col("m")) & (((k + F.lit(shift)) * source / F.lit(target)).cast("bigint") == F.col("idx")),
     )
     return df.join(n, KEY).select(KEY, F.explode(shown).alias("k"), "v").withColumnRenamed("k", "idx")
 
 
-def resample_linear(df: DataFrame, source: float, target: float, index: int = 0, length: int | None = None) -> DataFrame:
+def resample_linear(df: DataFrame, source: Rate, target: float, index: int = 0, length: int | None = None) -> DataFrame:
     """Values at (index + k) * source / target by linear interpolation, extrapolated beyond the last frame.
 
     A series of one frame stays constant. Components of an array are interpolated each for itself.
     """
-    step = source / target
-    n = lengths(df).select(KEY, "n", F.lit(length).cast("bigint").alias("m") if length is not None else (F.col("n") / source * target).cast("bigint").alias("m"))
+    n, source = with_rate(lengths(df), source)
+    n = n.select(KEY, "n", source.alias("_source"), F.lit(length).cast("bigint").alias("m") if length is not None else (F.col("n") / source * target).cast("bigint").alias("m"))
+    source, step = F.col("_source"), F.col("_source") / F.lit(float(target))
     d = with_neighbours(df).withColumnRenamed("next", "w").drop("prev").join(n, KEY)
     d = d.where((F.col("idx") <= F.col("n") - 2) | (F.col("n") == 1))
     final = F.col("idx") >= F.col("n") - 2
     first = F.greatest(F.ceil(F.col("idx") / step - index).cast("bigint") - 1, F.lit(0))
     last = F.when(final, F.col("m") - 1).otherwise(F.least(F.ceil((F.col("idx") + 1) / step - index).cast("bigint") + 1, F.col("m") - 1))
-    at = lambda k: (k + F.lit(index)) * F.lit(float(source)) / F.lit(float(target))
+    at = lambda k: (k + F.lit(index)) * source / F.lit(float(target))
     own = F.filter(F.when(last >= first, F.sequence(first, last)), lambda k: F.when(final, at(k) >= F.col("idx")).otherwise(F.floor(at(k)) == F.col("idx")))
-    d = d.select(KEY, "idx", "v", "w", F.explode(own).alias("k"))
+    d = d.select(KEY, "idx", "v", "w", "_source", F.explode(own).alias("k"))
     between = lambda a, b: a + (at(F.col("k")) - F.col("idx")) * F.coalesce(b - a, F.lit(0.0))
     v = F.zip_with("v", F.coalesce("w", "v"), between) if has_parts(df) else between(F.col("v"), F.col("w"))
     return d.select(KEY, "k", v.alias("v")).withColumnRenamed("k", "idx")  # an alias idx would be meant within the lambda
@@ -115,23 +139,27 @@ def split_points(keypoints: Sequence[float], rate: float) -> list[int]:
     return [int(s * rate) for s in keypoints]
 
 
-def split(df: DataFrame, keypoints: Sequence[float], rate: float) -> DataFrame:
+def _edges(keypoints: Sequence[float], rate: Column) -> list[tuple[Column, Column | None]]:
+    b = [(F.lit(float(s)) * rate).cast("bigint") for s in keypoints]
+    return list(zip([F.lit(0).cast("bigint"), *b], [*b, None]))
+
+
+def split(df: DataFrame, keypoints: Sequence[float], rate: Rate) -> DataFrame:
     """(series_id, segment, idx, v): frames between keypoints (seconds, truncated to frames); idx starts anew in each segment.
 
     Keypoints out of order give empty or overlapping segments, as slicing would.
     """
-    b = split_points(keypoints, rate)
-    edges = list(zip([0, *b], [*b, None]))
-    inside = [F.when((F.col("idx") >= a) & (F.col("idx") < z if z is not None else F.lit(True)), F.struct(F.lit(i).alias("segment"), (F.col("idx") - a).alias("idx"))) for i, (a, z) in enumerate(edges)]
-    return df.select(KEY, F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("s"), "v").select(KEY, "s.segment", "s.idx", "v")
+    d, r = with_rate(df, rate)
+    inside = [F.when((F.col("idx") >= a) & (F.col("idx") < z if z is not None else F.lit(True)), F.struct(F.lit(i).alias("segment"), (F.col("idx") - a).alias("idx"))) for i, (a, z) in enumerate(_edges(keypoints, r))]
+    return d.select(KEY, F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("s"), "v").select(KEY, "s.segment", "s.idx", "v")
 
 
-def segment_lengths(df: DataFrame, keypoints: Sequence[float], rate: float) -> DataFrame:
+def segment_lengths(df: DataFrame, keypoints: Sequence[float], rate: Rate) -> DataFrame:
     """(series_id, segment, n) of all segments, empty ones included."""
-    b = split_points(keypoints, rate)
+    d, r = with_rate(lengths(df), rate)
     n = F.col("n")
-    sizes = [F.greatest(F.least(F.lit(z), n) - F.least(F.lit(a), n), F.lit(0)) if z is not None else F.greatest(n - a, F.lit(0)) for a, z in zip([0, *b], [*b, None])]
-    return lengths(df).select(KEY, F.posexplode(F.array(*[s.cast("bigint") for s in sizes])).alias("segment", "n"))
+    sizes = [F.greatest(F.least(z, n) - F.least(a, n), F.lit(0)) if z is not None else F.greatest(n - a, F.lit(0)) for a, z in _edges(keypoints, r)]
+    return d.select(KEY, F.posexplode(F.array(*[s.cast("bigint") for s in sizes])).alias("segment", "n"))
 
 
 def all_same(df: DataFrame, by: Sequence[str] = (KEY,)) -> DataFrame:
@@ -158,7 +186,7 @@ def edge_value(df: DataFrame, frames: int = 5) -> DataFrame:
 def pad_tail(df: DataFrame, padding: float | DataFrame, group: Sequence[str] = (), by: Sequence[str] = (KEY,)) -> DataFrame:
     """Frames with each series (``by``) padded at its end to the longest of its ``group``.
 
-    ``padding`` is a value, or a DataFrame (series_id, padding).
+    ``padding`` is a value (for each component of array frames, as many as the series has), or a DataFrame (series_id, padding).
     """
     by, group = list(by), list(group)
     n = df.groupBy(*by).agg((F.max("idx") + 1).alias("n"))
@@ -167,32 +195,62 @@ def pad_tail(df: DataFrame, padding: float | DataFrame, group: Sequence[str] = (
     n = n.where("n < top")
     if isinstance(padding, DataFrame):
         n = n.join(padding.select(KEY, "padding"), KEY)
+    elif has_parts(df):
+        n = n.join(widths(df), KEY).withColumn("padding", F.array_repeat(F.lit(float(padding)), F.col("width")).cast(dict(df.dtypes)["v"]))
     else:
         n = n.withColumn("padding", F.lit(float(padding)))
     tail = n.select(*by, F.explode(F.sequence(F.col("n"), F.col("top") - 1)).alias("idx"), F.col("padding").alias("v"))
     return df.select(*by, "idx", "v").unionByName(tail)
 
 
-def split_local(df: DataFrame, keypoints: Sequence[float], rate: float, padding: bool = False, remove_all_same: bool = False) -> DataFrame:
-    """Split, drop constant segments, pad the rest to their series' longest with the value of the unsplit edges; adds the segment's name."""
+def split_local(df: DataFrame, keypoints: Sequence[float], rate: Rate, padding: bool = False, remove_all_same: bool = False, name: str = "{stem}-{i}") -> DataFrame:
+    """Split, drop constant segments, pad the rest to their series' longest with the value of the unsplit edges; adds the segment's name.
+
+    ``name`` is made of {stem}, the series, and {i}, the segment; {suffix} is empty, as series have none.
+    """
     s = split(df, keypoints, rate)
     if remove_all_same:
         s = drop_constant(s)
     if padding:
         s = pad_tail(s, edge_value(df), [KEY], [KEY, "segment"])
-    return s.select(KEY, "segment", "idx", "v", F.format_string("%s-%d", F.col(KEY), F.col("segment")).alias("name"))
+    return s.select(KEY, "segment", "idx", "v", segment_name(name).alias("name"))
+
+
+def segment_name(name: str) -> Column:
+    """The name of a row's segment by a format of {stem}, {i} and {suffix}."""
+    pieces = re.split(r"(\{stem\}|\{i\}|\{suffix\})", name)
+    if any("{" in x or "}" in x for x in pieces[::2]):
+        raise ValueError("names are made of {stem}, {i} and {suffix}")
+    return F.concat(*[{"{stem}": F.col(KEY), "{i}": F.col("segment").cast("string"), "{suffix}": F.lit("")}.get(x, F.lit(x)) for x in pieces])
 
 
 # ---------------------------------------------------------------- framing
 
-def framed(df: DataFrame, frame_length: int, hop: int, centering: bool = False, padding_value: float | None = None, kinds: Sequence[str] = ("mean",)) -> DataFrame:
+PADDING_MODES = ("constant", "edge", "reflect", "symmetric", "wrap")
+
+
+def mirrored(t: Column, n: Column, mode: str) -> Column:
+    """The frame of a series of n that stands at place t, also before 0 and from n on."""
+    if mode == "edge":
+        return F.least(F.greatest(t, F.lit(0)), n - 1)
+    if mode == "wrap":
+        return F.pmod(t, n)
+    there_and_back = F.greatest(2 * (n - 1), F.lit(1)) if mode == "reflect" else 2 * n
+    u = F.pmod(t, there_and_back)
+    return F.when(u < n, u).otherwise(there_and_back - u - (0 if mode == "reflect" else 1))
+
+
+def framed(df: DataFrame, frame_length: int, hop: int, centering: bool = False, padding_value: float | None = None, kinds: Sequence[str] = ("mean",), padding_mode: str = "constant") -> DataFrame:
     """(series_id, idx, one column per kind): min, max, mean or median of frames of ``frame_length`` every ``hop``.
 
-    With ``centering`` both ends are padded by frame_length // 2 values first. Incomplete frames at the end are
+    With ``centering`` both ends are padded by frame_length // 2 values first: ``padding_value`` or, by ``padding_mode``, the
+    outermost frame (edge), frames mirrored at it (reflect) or before it (symmetric), or those of the other end (wrap). Incomplete frames at the end are
     dropped; a series shorter than a frame has none. Each value goes to the frames that hold it; partial
     aggregation adds them up before the shuffle. Of arrays each component is taken for itself and the columns are arrays.
     """
-    if centering and padding_value is None:
+    if padding_mode not in PADDING_MODES:
+        raise ValueError(f"padding_mode is one of {PADDING_MODES}")
+    if centering and padding_value is None and padding_mode == "constant":
         raise ValueError("centering needs a padding value")
     pad = frame_length // 2 if centering else 0
     n = lengths(df)
@@ -206,7 +264,12 @@ def framed(df: DataFrame, frame_length: int, hop: int, centering: bool = False,
         n = n.join(w.where("width > 0"), KEY).select(KEY, "n", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("part"))
     if pad:
         ends = F.concat(F.sequence(F.lit(0), F.lit(pad - 1)).cast("array<bigint>"), F.sequence(F.col("n") + pad, F.col("n") + 2 * pad - 1))
-        d = d.unionByName(n.select(*by, F.explode(ends).alias("j"), F.lit(float(padding_value)).alias("v")))
+        ends = n.select(*by, "n", F.explode(ends).alias("j"))
+        if padding_mode == "constant":
+            ends = ends.withColumn("v", F.lit(float(padding_value)))
+        else:
+            ends = ends.withColumn("s", mirrored(F.col("j") - pad, F.col("n"), padding_mode) + pad).join(d.withColumnRenamed("j", "s"), [*by, "s"])
+        d = d.unionByName(ends.select(*by, "j", "v"))
     count = F.floor((F.col("n") + 2 * pad - frame_length) / hop) + 1
     d = d.join(n.select(*by, count.cast("bigint").alias("count")), by)
     first = F.greatest(F.ceil((F.col("j") - frame_length + 1) / F.lit(hop)), F.lit(0)).cast("bigint")
@@ -238,19 +301,34 @@ def length_spread(sources: Sequence[DataFrame], rate: float, tolerance: float) -
     return spread.withColumn("seconds", (F.col("longest") - F.col("shortest")) / F.lit(float(rate))).where(F.col("seconds") > tolerance)
 
 
-def collect(sources: Sequence[tuple[DataFrame, float]], rate: float, mode: str = "min", error_time_length: float | None = None, keys: str = "inner") -> DataFrame:
+def length_errors(sources: Sequence[tuple[DataFrame, Rate]], rate: float, tolerance: float) -> DataFrame:
+    """Dead letters (series_id, error) of series whose sources, once resampled, differ in length by more than ``tolerance`` seconds."""
+    n = []
+    for d, r in sources:
+        d, r = with_rate(lengths(d), r)
+        n.append(d.select(KEY, (F.col("n") * rate / r).cast("bigint").alias("n")))
+    common = reduce(lambda a, b: a.join(b, KEY, "left_semi"), n).select(KEY)
+    spread = reduce(DataFrame.unionByName, n).groupBy(KEY).agg(((F.max("n") - F.min("n")) / F.lit(float(rate))).alias("s")).where(F.col("s") > tolerance)
+    return spread.join(common, KEY, "left_semi").select(KEY, F.format_string(f"lengths differ by %.4f s, more than {tolerance}", "s").alias("error"))
+
+
+def collect(sources: Sequence[tuple[DataFrame, Rate]], rate: float, mode: str = "min", error_time_length: float | None = None, keys: str = "inner", skip: DataFrame | None = None) -> DataFrame:
     """(series_id, idx, v array<float>): sources (frames, rate) resampled to one rate (nearest) and set side by side, all their components.
 
     ``mode`` is a policy of length: ``min`` ends with the shortest source, ``max`` pads with zeros to the longest, ``first``
     pads or cuts to the first. ``keys``: ``inner`` takes the series all sources hold, ``strict`` raises if they differ.
-    With ``error_time_length`` it raises where lengths differ by more seconds.
+    With ``error_time_length`` it raises where lengths differ by more seconds. ``skip`` (series_id) leaves series out, as those of
+    :func:`length_errors`.
     """
     if keys == "strict":
         check_same_keys([s for s, _ in sources])
-    parts = [resample_nearest(s, r, rate, length=F.col("n") * rate / F.lit(r)) for s, r in sources]  # not n / r * rate, which loses the last of 29 frames at 100
+    if skip is not None:
+        sources = [(s.join(skip, KEY, "left_anti"), r) for s, r in sources]
+    own = lambda r: F.col("_rate") if isinstance(r, DataFrame) else F.lit(float(r))
+    parts = [resample_nearest(s, r, rate, length=F.col("n") * rate / own(r)) for s, r in sources]  # not n / r * rate, which loses the last of 29 frames at 100
     common = reduce(lambda a, b: a.join(b, KEY, "left_semi"), [p.select(KEY).distinct() for p in parts])
     if error_time_length is not None:
-        odd = length_spread([p.join(common, KEY, "left_semi") for p in parts], rate, error_time_length).limit(5).collect()
+        odd = length_errors(sources, rate, error_time_length).limit(5).collect()
         if odd:
             raise AlignmentError(f"lengths differ by more than {error_time_length} s: {[r[0] for r in odd]}")
     how = {"min": "inner", "max": "full_outer", "first": "left"}[mode]

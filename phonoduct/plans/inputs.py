@@ -35,6 +35,11 @@ def dense_frames(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("idx", (F.row_number().over(Window.partitionBy("series_id").orderBy("idx")) - 1).cast("bigint"))
 
 
+def rates(spark: SparkSession, d: str) -> DataFrame:
+    """(series_id, rate) as recorded; repeated, null and wrong ones too."""
+    return table(spark, d, "series_meta").select("series_id", "rate")
+
+
 FRAMES = """e as (select series_id, row_number() over (partition by series_id order by idx) - 1 idx, v from (select series_id, idx, min(v) v from series_frames group by 1, 2)),
 n as (select series_id, count(*) n, coalesce(max(len(v)), 0) w from e group by 1)"""
 

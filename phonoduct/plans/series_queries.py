@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from phonoduct.operators import f0
 from phonoduct.operators import series as S
-from phonoduct.plans.inputs import EVENTS, FRAMES, PITCH, SOURCES, WEIGHTED, dense_frames, events, frames, pitch, series, source, weighted
+from phonoduct.plans.inputs import EVENTS, FRAMES, PITCH, SOURCES, WEIGHTED, dense_frames, events, frames, pitch, rates, series, source, weighted
 
 KEYPOINTS = (0.1, 0.25, 0.6)
 QUERIES, SQL = {}, {}
@@ -117,6 +117,70 @@ def h2_padding(spark, d):
     return S.pad_tail(series(spark, d), -1.0)
 
 
+@query("h2_padding_parts", "with " + FRAMES + """, m as (select max(n) m from n),
+x as (select series_id, idx, v from e union all select series_id, unnest(range(n, m)), list_transform(range(0, w), lambda i: -1e0) from n, m where n < m)
+select series_id, idx, """ + _PARTS.format("v") + " from x")
+def h2_padding_parts(spark, d):
+    p = S.pad_tail(dense_frames(spark, d), -1.0)
+    return p.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+
+
+_RATES = "r as (select series_id, min(rate) rate from series_meta where rate > 0 and rate < 'infinity'::double group by 1)"
+
+
+@query("f6_resample_rates", "with " + FRAMES + ", " + _RATES + """,
+k as (select series_id, rate, unnest(range(0, cast(floor(n / rate * 50e0) as bigint))) k from n join r using (series_id))
+select k.series_id, k as idx, """ + _PARTS.format("v") + " from k join e on k.series_id = e.series_id and e.idx = cast(floor(k * rate / 50e0) as bigint)")
+def f6_resample_rates(spark, d):
+    """Frames of one to three components, each series from its own rate to 50."""
+    p = S.resample_nearest(dense_frames(spark, d), rates(spark, d), 50)
+    return p.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+
+
+@query("f7_resample_linear_rates", "with " + FRAMES + ", " + _RATES + """,
+k as (select series_id, n, rate, unnest(range(0, cast(floor(n / rate * 50e0) as bigint))) k from n join r using (series_id)),
+x as (select *, k * rate / 50e0 t, greatest(least(cast(floor(k * rate / 50e0) as bigint), n - 2), 0) i from k),
+y as (select x.series_id, k as idx, list_transform([1, 2, 3], lambda c: a.v[c] + (t - i) * coalesce(b.v[c] - a.v[c], 0)) v from x join e a on x.series_id = a.series_id and a.idx = i left join e b on x.series_id = b.series_id and b.idx = i + 1)
+select series_id, idx, """ + _PARTS.format("v") + " from y")
+def f7_resample_linear_rates(spark, d):
+    r = S.resample_linear(dense_frames(spark, d), rates(spark, d), 50)
+    return r.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+
+
+@query("h1_split_rates", "with " + FRAMES + ", " + _RATES + """,
+x as (select e.series_id, idx, v, cast(floor(rate * 2) as bigint) b from e join r using (series_id))
+select series_id, case when idx < b then 0 else 1 end segment, case when idx < b then idx else idx - b end idx, """ + _PARTS.format("v") + " from x")
+def h1_split_rates(spark, d):
+    """Each series cut after two seconds of its own rate."""
+    p = S.split(dense_frames(spark, d), (2.0,), rates(spark, d))
+    return p.select("series_id", "segment", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+
+
+@query("d5_collect_rates", "with " + FRAMES + ", " + _RATES + """,
+m as (select series_id, rate, w, cast(floor(n * 50e0 / rate) as bigint) a, cast(floor(n * 50e0 / 80e0) as bigint) b from n join r using (series_id)),
+k as (select series_id, rate, w, a, b, unnest(range(0, greatest(a, b))) k from m where least(a, b) > 0),
+x as (select k.series_id, k as idx, list_concat(list_transform(range(1, w + 1), lambda i: case when k < a then coalesce(p.v[i], 0) else 0 end), list_transform(range(1, w + 1), lambda i: case when k < b then coalesce(q.v[i], 0) else 0 end)) v
+  from k left join e p on p.series_id = k.series_id and p.idx = cast(floor(k * rate / 50e0) as bigint) left join e q on q.series_id = k.series_id and q.idx = cast(floor(k * 80e0 / 50e0) as bigint))
+select series_id, idx, """ + ", ".join(f"round(cast(cast(v[{i + 1}] as float) as double), 4) v{i}" for i in range(6)) + " from x")
+def d5_collect_rates(spark, d):
+    """Frames at the rate of their series beside the same frames taken for 80 a second, at 50."""
+    f = dense_frames(spark, d)
+    c = S.collect([(f, rates(spark, d)), (f, 80)], 50, "max")
+    return c.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(6)])
+
+
+for _mode, _sql in [("edge", "greatest(least(j - 4, n - 1), 0)"), ("reflect", "case when n = 1 then 0 when (j - 4 + 20 * (n - 1)) % (2 * (n - 1)) < n then (j - 4 + 20 * (n - 1)) % (2 * (n - 1)) else 2 * (n - 1) - (j - 4 + 20 * (n - 1)) % (2 * (n - 1)) end"), ("wrap", "(j - 4 + 20 * n) % n")]:
+
+    def _padded(spark, d, mode=_mode):
+        return S.framed(series(spark, d), 8, 4, True, kinds=("min", "mean"), padding_mode=mode).select("series_id", "idx", "min", *_r("mean"))
+
+    query(f"f2_framed_{_mode}", "with " + EVENTS + f""",
+j as (select series_id, n, unnest(range(0, n + 8)) j from n),
+p as (select j.series_id, j, v from j join e on e.series_id = j.series_id and e.idx = {_sql}),
+f as (select series_id, unnest(range(0, n // 4 + 1)) k from n)
+select f.series_id, k as idx, min(v) as "min", round(avg(v), 6) as mean from f join p on f.series_id = p.series_id and j >= k * 4 and j < k * 4 + 8 group by 1, 2""")(_padded)
+
+
 @query("h2b_split_local", "with " + EVENTS + """,
 q as (select series_id, idx, case when v > 60 then 1e0 else 0e0 end v from e),
 s as (select series_id, idx, v, case when idx < 3 then 0 when idx < 6 then 1 else 2 end segment from q),
