@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,12 +61,13 @@ def kept(feats: DataFrame, floor: float, ceil: float, next_bin: bool = True) ->
     return f0.drop_low_votes(d, floor=floor, ceil=ceil, next_bin=next_bin)
 
 
-def find_range(waves: DataFrame, max_num: int = 100, num_loop: int = 10, target_duration: float = 180, seed: int = 0, floor: float = 40.0, ceil: float = 800.0, next_bin: bool = True) -> DataFrame:
+def find_range(waves: DataFrame, max_num: int = 100, num_loop: int = 10, target_duration: float = 180, seed: int = 0, floor: float = 40.0, ceil: float = 800.0, next_bin: bool = True, on_round: Callable[[int, DataFrame, float, float], None] | None = None) -> DataFrame:
     """One row of the 13 statistics of ln f0 of at most ``max_num`` evenly spaced waves, after ``num_loop`` rounds.
 
     Each round regroups the waves (seeded), tracks pitch within the range so far and sets the next range to the
     volume-weighted 0.1 % and 99.9 % points, widened by a tenth. The statistics themselves are unweighted. ``next_bin`` is
     that of :func:`f0.drop_low_votes`: voices glide, but steady tones leave the bin after theirs empty.
+    ``on_round`` is called with each round's number, kept frames, floor and ceiling.
     """
     rate = check_rates(waves)
     chosen = cut_lineage(waves.join(evenly_spaced(waves, KEY, max_num), KEY, "left_semi"))
@@ -73,6 +76,8 @@ def find_range(waves: DataFrame, max_num: int = 100, num_loop: int = 10, target_
     for k in range(num_loop):
         feats = cut_lineage(features(joined(chosen, f0.duration_groups(seconds, target_duration, seed + k)).repartition("grp"), floor, ceil))
         last = kept(feats, floor, ceil, next_bin)
+        if on_round is not None:
+            on_round(k, last, floor, ceil)
         ends = {r["percent"]: r["value"] for r in f0.weighted_percentiles(last, "hz", "norm_volume", (0.1, 99.9)).collect()}  # two rows
         if len(ends) == 2 and ends[0.1] < ends[99.9]:
             floor, ceil = f0.expand_in_logspace(ends[0.1], ends[99.9], 0.1)

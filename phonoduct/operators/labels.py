@@ -224,27 +224,33 @@ def extract_phoneme(labels: DataFrame, phoneme_type: str = "seg_kit", rate: floa
 
 # ---------------------------------------------------------------- silence
 
-def silence_from_phonemes(labels: DataFrame, lengths: DataFrame, phoneme_type: str, sampling_rate: float) -> DataFrame:
+def silence_from_phonemes(labels: DataFrame, lengths: DataFrame, phoneme_type: str, sampling_rate: float | None = None) -> DataFrame:
     """(utt_id, idx, silent): False from round(start * rate) to round(end * rate), both included, of labels that are no space.
 
-    ``lengths`` (utt_id, n) has the samples of each wave. Labels mark samples once, then an anti-join leaves the silent ones.
+    ``lengths`` (utt_id, n) has the samples of each wave, and where no one rate is given its rate. Labels mark samples once, then
+    an anti-join leaves the silent ones.
     """
     sound = labels.where(F.col("phoneme") != SPACE[phoneme_type])
-    a, z = to_index(F.col("start_s"), sampling_rate), to_index(F.col("end_s"), sampling_rate)
+    if sampling_rate is None:
+        sound = sound.join(lengths.select(UTT, "rate"), UTT)
+    r = F.col("rate") if sampling_rate is None else F.lit(float(sampling_rate))
+    a, z = (F.rint(F.col(x) * r).cast("bigint") for x in ("start_s", "end_s"))
     loud = sound.where(z >= a).select(UTT, F.explode(F.sequence(a, z)).alias("idx")).distinct().withColumn("silent", F.lit(False))
     every = lengths.where("n > 0").select(UTT, F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"))).alias("idx"))
     return every.join(loud, [UTT, "idx"], "left").select(UTT, "idx", F.coalesce("silent", F.lit(True)).alias("silent"))
 
 
-def silence_runs(mask: DataFrame, rate: float, key: str = UTT) -> DataFrame:
-    """(key, start_s, end_s): runs of silent frames; end is the time of the last silent frame."""
+def silence_runs(mask: DataFrame, rate: float | DataFrame, key: str = UTT) -> DataFrame:
+    """(key, start_s, end_s): runs of silent frames; end is the time of the last silent frame. ``rate`` is one, or (key, rate)."""
     d = mask.where("silent").select(key, "idx")
     island = F.col("idx") - F.row_number().over(Window.partitionBy(key, F.floor(F.col("idx") / 65_536)).orderBy("idx"))
     part = d.withColumn("g", island).groupBy(key, F.floor(F.col("idx") / 65_536).alias("b"), "g").agg(F.min("idx").alias("a"), F.max("idx").alias("z"))
     w = Window.partitionBy(key).orderBy("a")  # one row per run and block
     part = part.withColumn("new", F.when(F.lag("z").over(w) == F.col("a") - 1, 0).otherwise(1))
     part = part.withColumn("run", F.sum("new").over(w))
-    return part.groupBy(key, "run").agg((F.min("a") / F.lit(float(rate))).alias("start_s"), (F.max("z") / F.lit(float(rate))).alias("end_s")).drop("run")
+    runs = part.groupBy(key, "run").agg(F.min("a").alias("a"), F.max("z").alias("z"))
+    runs = runs.join(rate.select(key, "rate"), key) if isinstance(rate, DataFrame) else runs.withColumn("rate", F.lit(float(rate)))
+    return runs.select(key, (F.col("a") / F.col("rate")).alias("start_s"), (F.col("z") / F.col("rate")).alias("end_s"))
 
 
 def move_sides(sides: list[float], spaces: Iterable[int], silences: Iterable[tuple[float, float]], minimum: float) -> list[float]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +32,26 @@ def check_stems(files: DataFrame, key: str = KEY) -> DataFrame:
     return files
 
 
+def write_text(spark: SparkSession | None, path: str, text: str) -> None:
+    """Write one small file through the session's file systems; without a session, on this machine."""
+    if spark is None:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 class NamedFiles(DataSource):
-    """Write rows (name string, content binary) as files in a folder that all executors share."""
+    """Write rows (name string, content binary) as files in a folder that all executors share.
+
+    The folder is opened by pyarrow's file systems: a local or mounted one, or hdfs, s3 or gs where their libraries are there.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -46,13 +66,16 @@ class _Writer(DataSourceWriter):
         self.folder = folder
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(self.folder) if re.match(r"\w+:", self.folder) else (fs.LocalFileSystem(), os.path.abspath(self.folder))
+        system.create_dir(folder, recursive=True)
         for r in rows:
-            target = os.path.join(self.folder, os.path.basename(r["name"]))
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as f:
+            target = f"{folder}/{os.path.basename(r['name'])}"
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(part) as f:
                 f.write(bytes(r["content"]))
-            os.replace(part, target)  # a retried task leaves whole files only
+            system.move(part, target)  # a retried task leaves whole files only
         return WriterCommitMessage()
 
 

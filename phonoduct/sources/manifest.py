@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 from enum import Enum
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from phonoduct.sources.files import write_text
 
 
 def _plain(x):
@@ -30,7 +31,6 @@ def manifest(arguments: dict) -> str:
     return json.dumps(_plain(kept), sort_keys=True, indent=2, ensure_ascii=False, default=str)
 
 
-def save_arguments(arguments: dict, folder: str) -> None:
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "arguments.json"), "w", encoding="utf-8") as f:
-        f.write(manifest(arguments))
+def save_arguments(arguments: dict, folder: str, spark: SparkSession | None = None) -> None:
+    """Write arguments.json into a folder of any file system the session knows."""
+    write_text(spark or SparkSession.getActiveSession(), f"{folder}/arguments.json", manifest(arguments))

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoduct.operators import signals
-from phonoduct.operators.series import KEY
+from phonoduct.operators.series import KEY, stem
+from phonoduct.sources import arrays
 from phonoduct.sources.files import check_stems, read_binary, write_files
 
 
+#: An accumulator that counts decoded files, where one is set before the plan is made.
+DECODED: Accumulator | None = None
+
+
 @dataclass(frozen=True)
 class Header:
     rate: int
@@ -33,8 +42,8 @@ class Header:
         return self.frames / self.rate
 
 
-def header(raw: bytes) -> Header:
-    """Read the format and data chunks; raises ValueError on anything that is no such wave."""
+def header(raw: bytes, length: int | None = None) -> Header:
+    """Read the format and data chunks; raises ValueError on anything that is no such wave. ``raw`` may be the head of a file of ``length`` bytes."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a RIFF wave")
     at, fmt = 12, None
@@ -48,13 +57,18 @@ def header(raw: bytes) -> Header:
                 raise ValueError(f"format {code} with {bits} bits is not read")
             fmt = rate, channels, bits, code == 3
         elif name == b"data" and fmt:
-            return Header(*fmt, at + 8, min(size, len(raw) - at - 8))
+            return Header(*fmt, at + 8, min(size, (length or len(raw)) - at - 8))
         at += 8 + size + size % 2
     raise ValueError("no samples")
 
 
 def decode(raw: bytes) -> tuple[np.ndarray, int]:
-    """(mono samples in -1..1 as float32, rate); channels are averaged."""
+    """(mono samples in -1..1 as float32, rate); channels are averaged. Arrays with a rate (.npy, .npz) are waves too."""
+    if raw[:6] == b"\x93NUMPY" or raw[:2] == b"PK":
+        array, rate = arrays.load(raw)
+        if rate is None or array.shape[1] != 1:
+            raise ValueError("a wave is one column with a rate")
+        return array[:, 0].astype(np.float32), int(rate)
     h = header(raw)
     size = h.frames * h.channels * h.bits // 8
     body = raw[h.start : h.start + size]
@@ -77,24 +91,54 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
 
 
+#: Bytes of a file that are looked at for its header.
+HEAD = 65_536
+
+
 def read_headers(spark: SparkSession, glob: str) -> DataFrame:
-    """(series_id, path, sampling_rate, channels, seconds)."""
+    """(series_id, path, sampling_rate, channels, seconds), from the first bytes of each file.
+
+    Only paths and sizes are listed by Spark; a task then opens its files by the session's file system where that is a local
+    or mounted one, else it reads them through the scan.
+    """
+
+    def parse(head: bytes, size: int) -> tuple[int, int, float]:
+        h = header(head, size)
+        return h.rate, h.channels, h.seconds
+
+    @F.pandas_udf("sampling_rate int, channels int, seconds double")
+    def opened(path: pd.Series, size: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, n in zip(path, size):
+            with open(unquote(p.removeprefix("file:")), "rb") as f:
+                rows.append(parse(f.read(HEAD), n))
+        return pd.DataFrame(rows, columns=["sampling_rate", "channels", "seconds"])
 
     @F.pandas_udf("sampling_rate int, channels int, seconds double")
-    def run(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(h.rate, h.channels, h.seconds) for h in map(header, content)], columns=["sampling_rate", "channels", "seconds"])
+    def scanned(head: pd.Series, size: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse(bytes(h), n) for h, n in zip(head, size)], columns=["sampling_rate", "channels", "seconds"])
 
-    return read_binary(spark, glob).select(KEY, "path", run("content").alias("h")).select(KEY, "path", "h.*")
+    files = spark.read.format("binaryFile").load(glob)
+    first = files.select("path").first()
+    mounted = first is not None and first[0].startswith("file:")
+    h = opened("path", "length") if mounted else scanned(F.substring("content", 1, HEAD), "length")
+    return files.select(stem(F.col("path")).alias(KEY), "path", h.alias("h")).select(KEY, "path", "h.*")
 
 
 def read_waves(spark: SparkSession, glob: str, sampling_rate: int | None = None) -> DataFrame:
     """(series_id, sampling_rate, samples array<float>), resampled where a rate is asked for and differs."""
-
-    @F.pandas_udf("sampling_rate int, samples array<float>")
-    def run(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(r, x) for x, r in map(decode, content)], columns=["sampling_rate", "samples"])
-
-    d = signals.spread(check_stems(read_binary(spark, glob))).select(KEY, run("content", KEY).alias("w")).select(KEY, "w.*")
+    seen = DECODED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):  # a wave at a time: they are large
+                x, r = decode(content.as_buffer().to_pybytes())
+                if seen is not None:
+                    seen.add(1)
+                samples = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([r], pa.int32()), samples], [KEY, "sampling_rate", "samples"])
+
+    d = signals.spread(check_stems(read_binary(spark, glob))).select(KEY, "content").mapInArrow(run, f"{KEY} string, sampling_rate int, samples array<float>")
     return d if sampling_rate is None else signals.resample(d, sampling_rate)
 
 
