@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from phonoduct.functions.vocabularies import OPENJTALK, vocabulary_table
@@ -46,22 +47,7 @@ def a8_as_text(spark, d):
     return L.as_text(labels(spark, d))
 
 
-@query("a11_violations", """with r as (select utt_id, pos, phoneme, start_s, end_s, loaded_at from (select distinct utt_id, pos, phoneme, start_s, end_s from phoneme_labels), (select 1 loaded_at)),
-u as (select * from r where utt_id in (select utt_id from r group by 1 having count(*) = count(distinct pos) and count(pos) = count(*))),
-c as (select *, lag(end_s) over w p, row_number() over w = 1 f from u window w as (partition by utt_id order by pos)),
-v as (select utt_id, pos, case when f and start_s <> 0 then 'the first label does not start at 0'
-  when not coalesce(start_s < end_s, false) then 'the label does not end after its start'
-  when not coalesce(phoneme in (""" + _LIST[1:-1] + """), false) then 'the phoneme is not in the vocabulary'
-  when not f and not coalesce(p = start_s, false) then 'the label does not start where the one before ends' end problem from c)
-select * from v where problem is not null""")
-def a11_violations(spark, d):
-    """Violations in utterances whose pos are distinct and not null, as in the SQL; :func:`a11_all_violations` takes all."""
-    x = table(spark, d, "phoneme_labels").select("utt_id", "pos", "phoneme", "start_s", "end_s").distinct()
-    sound = x.groupBy("utt_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("m"), F.count("pos").alias("k")).where("n = m and n = k")
-    return L.violations(x.join(sound, "utt_id", "left_semi"), "openjtalk")
-
-
-@query("a11_all_violations", """with r as (select distinct utt_id, pos, phoneme, start_s, end_s from phoneme_labels),
+@query("a11_violations", """with r as (select distinct utt_id, pos, phoneme, start_s, end_s from phoneme_labels),
 c as (select *, lag(end_s) over w p, row_number() over w = 1 f, count(pos) over (partition by utt_id, pos) k from r
   window w as (partition by utt_id order by pos nulls last, start_s nulls last, end_s nulls last, phoneme nulls last)),
 v as (select utt_id, pos, case when f and start_s <> 0 then 'the first label does not start at 0'
@@ -70,7 +56,7 @@ v as (select utt_id, pos, case when f and start_s <> 0 then 'the first label doe
   when not f and not coalesce(p = start_s, false) then 'the label does not start where the one before ends' end problem from c
   union all select utt_id, pos, case when pos is null then 'the pos is null' when k > 1 then 'the pos is repeated' end from c)
 select * from v where problem is not null""")
-def a11_all_violations(spark, d):
+def a11_violations(spark, d):
     """Violations in all utterances, those with repeated or null pos too."""
     return L.violations(table(spark, d, "phoneme_labels").select("utt_id", "pos", "phoneme", "start_s", "end_s").distinct(), "openjtalk")
 
@@ -90,11 +76,18 @@ def a14_convert_song(spark, d):
     return L.convert(_spelled(spark, d), "song").select("utt_id", "pos", "phoneme")
 
 
-@query("a18_same_label", "with " + LABELS + " select a.utt_id, a.pos, (a.phoneme is not distinct from b.phoneme and a.start_s is not distinct from b.start_s and a.end_s is not distinct from b.end_s) same from l a left join l b on a.utt_id = b.utt_id and a.pos = b.pos and b.pos % 3 <> 0")
+@query("a18_same_label", """with r as (select *, row_number() over (partition by utt_id, pos order by loaded_at desc nulls last, start_s nulls last, end_s nulls last, phoneme nulls last) k, count(*) over (partition by utt_id, pos) n from phoneme_labels where utt_id is not null and pos is not null),
+a as (select * from r where k = 1), b as (select * from r where k = n)
+select utt_id, a.pos, a.phoneme is not distinct from b.phoneme and round_even(a.start_s, 4) is not distinct from round_even(b.start_s, 4) and round_even(a.end_s, 4) is not distinct from round_even(b.end_s, 4) same
+from a join b using (utt_id, pos)""")
 def a18_same_label(spark, d):
-    a = labels(spark, d)
-    b = a.where("pos % 3 <> 0").select("utt_id", "pos", *[F.col(c).alias(f"b_{c}") for c in ("phoneme", "start_s", "end_s")])
-    return a.join(b, ["utt_id", "pos"], "left").select("utt_id", "pos", L.same_label("", "b_").alias("same"))
+    """The latest row of each label against the earliest that was loaded for it."""
+    x = table(spark, d, "phoneme_labels").where("utt_id is not null and pos is not null")
+    w = Window.partitionBy("utt_id", "pos")
+    late = w.orderBy(F.desc_nulls_last("loaded_at"), *[F.asc_nulls_last(c) for c in ("start_s", "end_s", "phoneme")])
+    x = x.withColumns({"k": F.row_number().over(late), "n": F.count(F.lit(1)).over(w)})
+    b = x.where("k = n").select("utt_id", "pos", *[F.col(c).alias(f"b_{c}") for c in ("phoneme", "start_s", "end_s")])
+    return x.where("k = 1").join(b, ["utt_id", "pos"]).select("utt_id", "pos", L.same_label("", "b_").alias("same"))
 
 
 @query("h3b_vocabulary", f"with v as (select unnest({_LIST}) phoneme, unnest(range(0, {N})) id) select phoneme, cast(id as integer) phoneme_id, phoneme = 'pau' is_space from v")

@@ -196,14 +196,9 @@ def h2b_split_local(spark, d):
     return S.split_local(q, (0.03, 0.06), 100, padding=True, remove_all_same=True)
 
 
-@query("c4_all_same", "with " + EVENTS + " select series_id, min(cast(v as bigint) // 250) = max(cast(v as bigint) // 250) same from e where idx < 4 group by 1")
+@query("c4_all_same", "with " + EVENTS + " select series_id, count(distinct cast(v as bigint) // 250) = 1 and count(v) = count(*) same from e group by 1")
 def c4_all_same(spark, d):
-    """The first four frames only, as in the SQL; :func:`c4_all_same_whole` and :func:`c4_all_same_frames` take whole series."""
-    return S.all_same(series(spark, d).where("idx < 4").withColumn("v", F.floor(F.rint("v") / 250)))
-
-
-@query("c4_all_same_whole", "with " + EVENTS + " select series_id, count(distinct cast(v as bigint) // 250) = 1 and count(v) = count(*) same from e group by 1")
-def c4_all_same_whole(spark, d):
+    """Whole series of events, binned by 250 so that some are constant."""
     return S.all_same(series(spark, d).withColumn("v", F.floor(F.rint("v") / 250)))
 
 
@@ -213,11 +208,12 @@ def c4_all_same_frames(spark, d):
     return S.all_same(frames(spark, d))
 
 
-@query("c5_drop_constant", "with " + EVENTS + """, s as (select series_id, case when idx < 2 then 0 when idx < 4 then 1 else 2 end segment, case when v > 60 then 1e0 else 0e0 end v from e)
-select series_id, segment, count(*) n from s group by 1, 2 having min(v) <> max(v)""")
+@query("c5_drop_constant", "with " + EVENTS + """, s as (select series_id, idx, case when idx < 2 then 0 when idx < 4 then 1 else 2 end segment, case when v > 60 then 1e0 else 0e0 end v from e),
+k as (select series_id, segment from s group by 1, 2 having min(v) <> max(v))
+select series_id, segment, idx - segment * 2 idx, v from s semi join k using (series_id, segment)""")
 def c5_drop_constant(spark, d):
     q = series(spark, d).withColumn("v", F.when(F.col("v") > 60, 1.0).otherwise(0.0))
-    return S.drop_constant(S.split(q, (0.02, 0.04), 100)).groupBy("series_id", "segment").agg(F.count(F.lit(1)).alias("n"))
+    return S.drop_constant(S.split(q, (0.02, 0.04), 100)).select("series_id", "segment", "idx", "v")
 
 
 @query("c11_edge_value", "with " + EVENTS + """, q as (select series_id, idx, case when v > 60 then 1e0 else 0e0 end v from e)
@@ -227,14 +223,15 @@ def c11_edge_value(spark, d):
     return S.edge_value(series(spark, d).withColumn("v", F.when(F.col("v") > 60, 1.0).otherwise(0.0)))
 
 
-@query("a5_wrap_transposed", "with w as (select cast(vec_id as varchar) series_id, 1 / 5e-3 rate, embedding from embeddings) select series_id, rate, cast(32 as integer) n, cast(embedding[2] as double) a, cast(embedding[33] as double) b from w")
+@query("a5_wrap_transposed", """with w as (select cast(vec_id as varchar) series_id, embedding, unnest(range(0, 64)) i from embeddings)
+select series_id, 1 / 5e-3 rate, cast(i % 32 as integer) as frame, cast(i // 32 as integer) part, cast(embedding[i + 1] as double) v from w""")
 def a5_wrap_transposed(spark, d):
+    """Two rows of 32 values, time on the second axis, as 32 frames of two components."""
     from phonoduct.runtime import table
 
     raw = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("series_id"), F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("x"))
-    w = S.wrap_arrays(raw, "x", frame_second=0.005, time_axis=1)
-    at = lambda i, j: F.get(F.get("array", F.lit(i)), F.lit(j)).cast("double")
-    return w.select("series_id", "rate", F.size("array").alias("n"), at(1, 0).alias("a"), at(0, 1).alias("b"))
+    w = S.wrap_arrays(raw, "x", frame_second=0.005, time_axis=1).select("series_id", "rate", F.posexplode("array").alias("frame", "x"))
+    return w.select("series_id", "rate", "frame", F.posexplode("x").alias("part", "v")).withColumn("v", F.col("v").cast("double"))
 
 
 # ------------------------------------------------------------- alignment

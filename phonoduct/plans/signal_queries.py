@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,49 +25,122 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Samples a second for each frame a second of packed_series, which makes waves of 4 to 10 kHz.
+PER_FRAME = 80
+
+
 def packed(spark: SparkSession, d: str) -> DataFrame:
-    """Each embedding repeated to a wave of half a second."""
+    """Each embedding repeated to a wave of half a second, all of one pitch."""
     e = table(spark, d, "embeddings")
     return signals.spread(e.select(F.format_string("%08d", "vec_id").alias("series_id"), F.lit(RATE).alias("sampling_rate"), F.flatten(F.array_repeat("embedding", RATE // 128)).alias("samples")))
 
 
-_MEL = {"n_mels": 20, "n_fft": 512, "win_length": 256, "fmin": 50, "fmax": 4000}
+def recorded(spark: SparkSession, d: str) -> DataFrame:
+    """The series of packed_series as waves, each at its own rate; NaN samples are silent, repeated rows count once, null and empty ones not."""
+    p = signals.spread(table(spark, d, "packed_series")).where("rate > 0 and size(samples) > 0")
+    clean = F.transform("samples", lambda x: F.when(F.isnan(x) | x.isNull(), 0.0).otherwise(x).cast("float"))
+    return p.select("series_id", F.floor(F.col("rate") * PER_FRAME).cast("int").alias("sampling_rate"), clean.alias("samples")).distinct()
+
 
+RECORDED = f"""with recursive w as (select distinct series_id, cast(floor(rate * {PER_FRAME}) as integer) sr, list_transform(samples, lambda x: case when isnan(x) or x is null then 0 else x end) s from packed_series where rate > 0 and len(samples) > 0),
+u as (select series_id, sr, len(s) n, generate_subscripts(s, 1) - 1 i, cast(unnest(s) as double) v from w)"""
 
-@query("i1_melspectrogram")
+_MEL = {"n_mels": 20, "n_fft": 512, "win_length": 256, "fmin": 50, "fmax": 2000}
+_HZ = "case when m < 15 then m * 200 / 3e0 else 1000 * exp((m - 15) * ln(6.4e0) / 27) end"
+_TO_MEL = "case when {0} < 1000 then {0} * 3e0 / 200 else 15 + ln({0} / 1e3) * 27 / ln(6.4e0) end"
+_LEVELS = RECORDED + f""",
+f as (select distinct series_id, sr, unnest(range(0, n // 256 + 1)) k from u),
+x as (select series_id, f.sr, k, j, v * (0.5 - 0.5 * cos(2 * pi() * j / 256)) v from (select *, unnest(range(0, 256)) j from f) f join u using (series_id) where u.i = f.k * 256 - 128 + f.j),
+t as (select b, j, cos(2 * pi() * b * j / 512) c, sin(2 * pi() * b * j / 512) s from (select unnest(range(0, 257)) b), (select unnest(range(0, 256)) j)),
+g as (select series_id, x.sr, k, b, sqrt(power(sum(v * c), 2) + power(sum(v * s), 2)) a from x join t using (j) group by all),
+e as (select l, {_HZ} hz from (select l, {_TO_MEL.format('50')} + l * ({_TO_MEL.format('2000')} - {_TO_MEL.format('50')}) / 21 m from (select unnest(range(0, 22)) l))),
+tri as (select a.l, a.hz lo, b.hz mid, c.hz hi from e a join e b on b.l = a.l + 1 join e c on c.l = a.l + 2),
+y as (select series_id, sr, k, l, sum(a * greatest(0, least((b * sr / 512e0 - lo) / (mid - lo), (hi - b * sr / 512e0) / (hi - mid))) * 2 / (hi - lo)) a from g, tri group by all),
+level as (select f.series_id, f.sr, f.k, q.l, coalesce(a, 0) a from f cross join (select distinct l from tri) q left join y on y.series_id = f.series_id and y.k = f.k and y.l = q.l)"""
+
+
+@query("i1_melspectrogram", _LEVELS + " select series_id, sr / 256e0 rate, cast(k as integer) idx, cast(l as integer) mel, round(cast(cast(least(greatest((ln(greatest(a, 1e-5)) - ln(1e-5)) / -ln(1e-5), 0), 1) as float) as double), 4) v from level")
 def i1_melspectrogram(spark, d):
-    m = signals.melspectrogram(packed(spark, d), 128, **_MEL)
-    return m.select("series_id", "rate", F.posexplode("array").alias("idx", "v"))
+    m = signals.melspectrogram(recorded(spark, d), 256, **_MEL)
+    m = m.select("series_id", "rate", F.posexplode("array").alias("idx", "x"))
+    return m.select("series_id", "rate", "idx", F.posexplode("x").alias("mel", "v")).withColumn("v", F.round(F.col("v").cast("double"), 4))
 
 
-@query("e6_mel_extent")
+@query("e6_mel_extent", _LEVELS + ' select round(min(ln(greatest(a, 1e-15))), 3) as "min", round(max(ln(greatest(a, 1e-15))), 3) as "max" from level')
 def e6_mel_extent(spark, d):
-    return signals.mel_extent(packed(spark, d), hop=128, **_MEL)
+    return signals.mel_extent(recorded(spark, d), hop=256, **_MEL).select(F.round("min", 3).alias("min"), F.round("max", 3).alias("max"))
 
 
-@query("i12_resample")
+@query("i12_resample", RECORDED + """,
+r as (select series_id, sr, n, least(1, 6000e0 / sr) cut, unnest(range(0, cast(ceil(n * 6000e0 / sr) as bigint))) k from (select distinct series_id, sr, n from u)),
+p as (select *, k * sr / 6000e0 t, floor(k * sr / 6000e0) i0, cast(ceil(32 / cut) as bigint) half from r),
+q as (select series_id, k, cut, t, cast(i0 as bigint) + unnest(range(-half, half + 1)) i from p where sr <> 6000),
+o as (select series_id, k, cut, i, (i - t) * cut x from q),
+m as (select series_id, k, sum(case when abs(x) < 32 then v * (case when x = 0 then 1 else sin(pi() * x) / (pi() * x) end) * (0.5 + 0.5 * cos(pi() * x / 32)) else 0 end * cut) v from o join u using (series_id, i) group by 1, 2)
+select series_id, k as idx, round(cast(cast(v as float) as double), 4) + 0e0 v from m union all select series_id, i, round(v, 4) + 0e0 from u where sr = 6000""")
 def i12_resample(spark, d):
-    return signals.resample(packed(spark, d), 6_000)
+    r = signals.resample(recorded(spark, d), 6_000)
+    return r.select("series_id", F.posexplode("samples").alias("idx", "v")).select("series_id", F.col("idx").cast("bigint").alias("idx"), (F.round(F.col("v").cast("double"), 4) + 0.0).alias("v"))
+
+
+def tones(spark: SparkSession, d: str, hz, amplitude, rate: int, seconds: float) -> DataFrame:
+    """(series_id, sampling_rate, hz, amplitude, samples): a tone of seven falling harmonics (or one, where hz is fixed) per series of packed_series."""
+    p = table(spark, d, "packed_series").groupBy("series_id").agg(F.max(F.coalesce(F.size("samples"), F.lit(0))).alias("n"))
+    p = signals.spread(p.select("series_id", F.lit(rate).alias("sampling_rate"), hz(F.col("n")).alias("hz"), amplitude(F.col("n")).alias("amplitude")).repartition(8, "series_id"))
+    wave = F.transform(F.sequence(F.lit(0), F.lit(int(seconds * rate) - 1)), lambda i: (F.col("amplitude") * F.sin(2 * math.pi * F.col("hz") * i / rate)).cast("float"))
+    return p.withColumn("samples", wave)
+
+
+_ALL_HOLD = "select distinct series_id, true holds from packed_series"
+
+
+@query("i3_pitch_tones", _ALL_HOLD)
+def i3_pitch_tones(spark, d):
+    """Whether the tracker finds the pitch of harmonic tones of 90 to 389 Hz: within 1 % in the middle, voiced for nine tenths."""
+    t = tones(spark, d, lambda n: F.lit(90.0) + F.pmod(n, F.lit(300)), lambda n: F.lit(0.3), RATE, 0.5)
+    rich = F.transform("samples", lambda x, i: sum((0.3 / k * F.sin(2 * math.pi * k * F.col("hz") * i / RATE) for k in range(1, 8)), F.lit(0.0)).cast("float"))
+    t = t.withColumn("samples", rich)
+    h = signals.f0(t, f0_floor=71, f0_ceil=800).join(t.select("series_id", F.col("hz").alias("true_hz")), "series_id").where("idx between 10 and 89")
+    near = (F.abs(F.col("hz") / F.col("true_hz") - 1) < 0.01).cast("int")
+    return h.groupBy("series_id").agg((F.avg(near) >= 0.9).alias("holds"))
+
+
+@query("i5_loudness_tones", _ALL_HOLD)
+def i5_loudness_tones(spark, d):
+    """Whether 1 kHz tones of 40 to 79 dB come out at 2 ** ((dB - 40) / 10) sone, within 7 %."""
+    t = tones(spark, d, lambda n: F.lit(1000.0), lambda n: F.lit(2e-5 * math.sqrt(2)) * F.pow(F.lit(10.0), (F.lit(40.0) + F.pmod(n, F.lit(40))) / 20), 48_000, 0.3)
+    x = signals.loudness(t, 100, field="free").join(t.select("series_id", "amplitude"), "series_id")
+    sone = F.pow(F.lit(2.0), (20 * F.log10(F.col("amplitude") / (2e-5 * math.sqrt(2))) - 40) / 10)
+    return x.select("series_id", (F.abs(F.get("array", F.lit(20)) / sone - 1) < 0.07).alias("holds"))
+
+
+@query("e5_programme_loudness_tones", _ALL_HOLD)
+def e5_programme_loudness_tones(spark, d):
+    """Whether 997 Hz sines of -10 to -39 dBFS are -13.01 to -42.01 LUFS, and of no range."""
+    t = tones(spark, d, lambda n: F.lit(997.0), lambda n: F.pow(F.lit(10.0), -(F.lit(10.0) + F.pmod(n, F.lit(30))) / 20), 48_000, 3.5)
+    x = signals.ebur128(t).join(t.select("series_id", "amplitude"), "series_id")
+    want = 20 * F.log10("amplitude") - 3.01
+    return x.select("series_id", ((F.abs(F.col("i") - want) < 0.05) & (F.abs(F.col("lra_low") - want) < 0.05) & (F.abs(F.col("lra_high") - want) < 0.05)).alias("holds"))
 
 
 @query("i3_pitch")
 def i3_pitch(spark, d):
-    return signals.f0(packed(spark, d), f0_floor=80, f0_ceil=400)
+    return signals.f0(recorded(spark, d), f0_floor=80, f0_ceil=400)
 
 
 @query("i5_loudness")
 def i5_loudness(spark, d):
-    return signals.loudness(packed(spark, d), 100)
+    return signals.loudness(recorded(spark, d), 100)
 
 
 @query("e4_loudness_percentiles")
 def e4_loudness_percentiles(spark, d):
-    return signals.loudness_percentiles(packed(spark, d))
+    return signals.loudness_percentiles(recorded(spark, d))
 
 
 @query("e5_ebur128")
 def e5_ebur128(spark, d):
-    return signals.ebur128_summary(packed(spark, d))
+    return signals.ebur128_summary(recorded(spark, d))
 
 
 @query("i10_f0_range")
