@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from phonoduct.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-HEAVY = {"i3_pitch", "i5_loudness", "e4_loudness_percentiles", "i10_f0_range", "i10_f0_range_defaults"}
+HEAVY = {"i3_pitch", "i5_loudness", "e4_loudness_percentiles", "i10_f0_range"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
 
 
