@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonoduct.runtime import cut_lineage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the public pre-tokenisation pattern of the byte_bpe vocabularies.
@@ -88,8 +90,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = V
     schema = f"k {kind}, ids array<int>"
     done = short.mapInArrow(_encode_batches(path, "t"), schema)
 
-    long = d.where(F.length("t") > chunk).groupBy("k", "t").agg(F.count(F.lit(1)).alias("times"))
-    long = long.withColumn("h", F.sha2("t", 256))
+    long = d.where(F.length("t") > chunk).withColumn("h", F.sha2("t", 256)).groupBy("k", "h").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("times"))
+    long = cut_lineage(long)  # read for its chunks and for its pieces
     chunks = long.select("k", "h", F.length("t").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.length("t") - 1, F.lit(chunk)), lambda a: F.substring("t", a + 1, F.lit(chunk + overlap)))).alias("i", "c"))
     chunks = chunks.repartition("k", "h", "i")
 
