@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoduct.llm.encode import encode
+from phonoduct.llm.encode import decode, encode
 from phonoduct.llm.packing import pack
 from phonoduct.llm.runs import collapse_runs, with_duration
 from phonoduct.llm.sketch import check_stored, digest_quantiles, digests, enclosure, merge_digests
@@ -70,12 +70,29 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The texts decoded from their ids."""
+    return decode(p6_ids(spark, d)).select("doc_id", "text")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Documents, by tokens, in containers of 2,048."""
     sizes = encode(table(spark, d, "documents")).select("doc_id", F.size("ids").alias("n"))
     return pack(sizes, "doc_id", "n", CAPACITY)
 
 
+def p7_filling(spark: SparkSession, d: str) -> DataFrame:
+    """One row for the assignment of p7_containers: documents, and whether each is placed once and whole, no container is over its
+    capacity, no document of at most that is divided, and at most 1 % more containers are used than their tokens need."""
+    c = p7_containers(spark, d)
+    docs = c.groupBy("doc_id").agg(F.sum("n_units").alias("n"), F.count(F.lit(1)).alias("parts"), (F.max("part") + 1).alias("last"), F.max(F.col("first_unit") + F.col("n_units")).alias("end"))
+    loads = c.groupBy("container").agg(F.sum("n_units").alias("load"))
+    need = F.ceil(F.sum("n") / CAPACITY)
+    a = docs.agg(F.count(F.lit(1)).alias("documents"), F.min((F.col("parts") == F.col("last")) & (F.col("end") == F.col("n"))).alias("whole"), F.min((F.col("n") > CAPACITY) | (F.col("parts") == 1)).alias("undivided"), need.alias("need"))
+    b = loads.agg((F.max("load") <= CAPACITY).alias("within"), F.count(F.lit(1)).alias("used"))
+    return a.join(F.broadcast(b)).select("documents", "whole", "undivided", "within", (F.col("used") <= F.col("need") * 1.01 + 1).alias("tight"))  # one row each
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Characters of each document that other documents share in passages of at least 64."""
     return shared_runs(shared_blocks(table(spark, d, "documents")))
@@ -96,7 +113,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return linked_passages(shared_blocks(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_quantiles, p3_day_bounds, p3_speaker_bounds, p4_found, p4_runs, p5_found, p5_pieces, p6_ids, p7_containers, p8_found, p8_coverage, p8_links, p8_passages)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_quantiles, p3_day_bounds, p3_speaker_bounds, p4_found, p4_runs, p5_found, p5_pieces, p6_ids, p6_round_trip, p7_containers, p7_filling, p8_found, p8_coverage, p8_links, p8_passages)}
 
 _RUNS = """
 with s as (select series_id, idx, min(v) v from series_frames group by 1, 2),
@@ -147,6 +164,24 @@ s as (select series_id, rate, b + 1 f, lead(a) over (partition by series_id orde
 l as (select series_id, f from s where t - f > 10 * rate)
 select series_id, f as forced_from from l
 union all select series_id, -1 from n where series_id not in (select series_id from l)""",
+    "p5_pieces": """
+with recursive d as (select distinct series_id, rate, samples from packed_series where samples is not null and len(samples) > 0),
+k as (select *, row_number() over () r, len(samples) n, rate > 0 and rate * 10 >= 1 and rate < 1e8 ok from d),
+u as (select r, rate, unnest(samples) x, generate_subscripts(samples, 1) - 1 i from k where ok),
+q as (select *, coalesce(not isnan(x) and abs(x) < 0.02::float, false) quiet from u),
+g as (select *, i - row_number() over (partition by r, quiet order by i) g from q),
+p as (select r, min(i) a, max(i) b from g where quiet group by r, rate, g having count(*) >= greatest(ceil(0.2 * rate - 1e-9), 1)),
+ps as (select r, list({'a': a, 'b': b}) ps from p group by r),
+s as (select series_id, k.r, n, case when ok then cast(floor(rate * 10 + 1e-9) as bigint) else n end most, case when ok then cast(floor(rate * 0.5 + 1e-9) as bigint) else 0 end over_, coalesce(ps, []) ps from k left join ps using (r)),
+t as (
+  select series_id, r, n, most, over_, ps, -1 piece, 0::bigint f, 0::bigint e from s
+  union all
+  select series_id, r, n, most, over_, ps, piece + 1, case when piece < 0 then 0 else e - over_ end,
+    case when e + reach >= n then n else coalesce(list_max(list_transform(list_filter(ps, lambda p: p.a <= e + reach - 1 and p.b >= e), lambda p: least(p.b, e + reach - 1))) + 1, e + reach) end
+  from (select *, most - case when piece < 0 then 0 else over_ end reach from t where e < n))
+select distinct series_id, piece, f as first_idx, e - 1 as last_idx from t where piece >= 0""",
+    "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
+    "p7_filling": "select count(*) documents, true as whole, true as undivided, true as within, true as tight from documents",
     "p8_found": _SHARED + " select doc_id, first_char, last_char from spans",
     "p8_links": """
 with d as (select min(doc_id) c, text from documents where length(text) >= 64 group by text),
