@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,34 +24,59 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: st
     return a.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def run_breaks(v: np.ndarray, within: float, before: float | None) -> np.ndarray:
+    """Where runs begin among values in order; the first begins one too, unless it is near the value before it."""
+    new = np.ones(len(v), bool)
+    new[1:] = ~(np.abs(np.diff(v)) <= within)
+    if len(v) and before is not None:
+        new[0] = not abs(v[0] - before) <= within
+    return np.flatnonzero(new)
+
+
 def repeated_values(df: DataFrame, key: str, ts: str, value: str, within: float = 0.0, idle: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(key, start, end, n): runs of consecutive events whose value stays within ``within`` of the one before.
 
-    A run is emitted when an event breaks it, or when the watermark has passed its end by ``idle``. The state is the run's ends and last value.
+    Events wait in the state until the watermark has passed them, so that those that come out of order, within ``late``, are
+    taken in the order of their times (of equal times by value). A run is emitted when an event breaks it, or when the watermark
+    has passed its end by ``idle`` and no later event waits. The state is the run's ends and last value, and the events of the last ``late``.
     """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1_000_000)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = []
-        if state.hasTimedOut:
-            start, end, n, _ = state.get
+        start, end, n, last, ts0, vs0 = state.getOption or (0, 0, 0, 0.0, [], [])
+        parts = [] if state.hasTimedOut else list(batches)
+        t = np.concatenate([np.asarray(ts0, np.int64), *[b["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for b in parts]])
+        v = np.concatenate([np.asarray(vs0, float), *[b["v"].to_numpy(float) for b in parts]])
+        mark = state.getCurrentWatermarkMs() * 1000
+        order = np.lexsort((v, t))
+        t, v = t[order], v[order]
+        ripe = int(np.searchsorted(t, mark, "right"))
+        rows = []
+        at = run_breaks(v[:ripe], within, last if n else None)
+        if ripe:
+            edges = np.append(at, ripe)
+            if n and (not len(at) or at[0] > 0):  # the open run goes on
+                stop = int(edges[0])
+                end, n = int(t[stop - 1]), n + stop
+            for a, z in zip(edges[:-1], edges[1:]):
+                if n:
+                    rows.append((start, end, n))
+                start, end, n = int(t[a]), int(t[z - 1]), int(z - a)
+            last = float(v[ripe - 1])
+        t, v = t[ripe:], v[ripe:]
+        if n and end + wait <= mark and not len(t):
+            rows.append((start, end, n))
+            n = 0
+        if n or len(t):
+            state.update((start, end, n, last, t.tolist(), v.tolist()))
+            due = min([end + wait] * (n > 0) + [int(x) for x in t[:1]])
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"k": [k[0]], "start": [pd.Timestamp(start, unit="us")], "end": [pd.Timestamp(end, unit="us")], "n": [n]})
-            return
-        run = state.getOption
-        for t, v in pd.concat(list(batches)).sort_values("ts", kind="stable")[["ts", "v"]].itertuples(index=False):
-            us = t.value // 1000
-            if run is not None and abs(v - run[3]) <= within:
-                run = (run[0], us, run[2] + 1, v)
-            else:
-                if run is not None:
-                    done.append(run)
-                run = (us, us, 1, v)
-        state.update(run)
-        state.setTimeoutTimestamp(max(run[1] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"k": [k[0]] * len(done), "start": pd.to_datetime([r[0] for r in done], unit="us"), "end": pd.to_datetime([r[1] for r in done], unit="us"), "n": [r[2] for r in done]})
+        yield pd.DataFrame({"k": [k[0]] * len(rows), "start": pd.to_datetime([r[0] for r in rows], unit="us"), "end": pd.to_datetime([r[1] for r in rows], unit="us"), "n": [r[2] for r in rows]})
 
     kind = dict(df.dtypes)[key]
-    d = df.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).withWatermark("ts", late)
-    out = d.groupBy("k").applyInPandasWithState(step, f"k {kind}, start timestamp, end timestamp, n bigint", "start bigint, end bigint, n bigint, v double", "append", GroupStateTimeout.EventTimeTimeout)
+    d = df.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).where("k is not null and v is not null").withWatermark("ts", late)
+    kept = "start bigint, end bigint, n bigint, last double, ts array<bigint>, vs array<double>"
+    out = d.groupBy("k").applyInPandasWithState(step, f"k {kind}, start timestamp, end timestamp, n bigint", kept, "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("k", key)
