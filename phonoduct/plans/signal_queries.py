@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoduct.operators import f0_range, signals
+from phonoduct.plans.inputs import _LIST
+from phonoduct.plans.sql import register
 from phonoduct.runtime import table
 from phonoduct.streaming import events as stream
 
@@ -172,3 +174,21 @@ s as (select *, sum(new) over (partition by user_id order by ts rows unbounded p
 select user_id, min(ts) as "start", max(ts) + interval 6 hour as "end", count(*) n from s group by user_id, r""")
 def k2_sessions(spark, d):
     return stream.sessions(table(spark, d, "events"), "user_id", "ts", "6 hours")
+
+
+@query("k3_sql_functions", """select utt_id, pos, list_position(""" + _LIST + """, phoneme) - 1 phoneme_id, cast(round_even(start_s * 100, 0) as bigint) as frame,
+round(10 * log10(greatest(end_s - start_s, 1e-10)), 6) db from phoneme_labels where utt_id is not null and start_s is not null and abs(start_s) < 1e9 and end_s is not null""")
+def k3_sql_functions(spark, d):
+    """The operators called from SQL, on labels."""
+    register(spark)
+    table(spark, d, "phoneme_labels").createOrReplaceTempView("k3_labels")
+    return spark.sql("""select utt_id, pos, phoneme_id(phoneme, 'openjtalk') phoneme_id, seconds_to_frame(start_s, 100) frame, round(power_to_db(end_s - start_s), 6) db
+    from k3_labels where utt_id is not null and start_s is not null and abs(start_s) < 1e9 and end_s is not null""")
+
+
+@query("k3_sql_kernels", "select series_id, n mel_frames, m resampled from (select series_id, len(s) // 256 + 1 n, cast(ceil(len(s) * 6000e0 / sr) as bigint) m from (" + RECORDED.replace("with recursive ", "with ", 1) + " select * from w))")
+def k3_sql_kernels(spark, d):
+    """Kernels called from SQL, on waves."""
+    register(spark)
+    recorded(spark, d).createOrReplaceTempView("k3_waves")
+    return spark.sql("select series_id, cast(size(log_mel(samples, sampling_rate)) as bigint) mel_frames, cast(size(resample_wave(samples, sampling_rate, 6000)) as bigint) resampled from k3_waves")
