@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from phonoduct.operators import f0
@@ -18,6 +19,15 @@ def _r(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def _known(c: Column) -> Column:
+    """NaN as null, so that results compare in any way."""
+    return F.when(~F.isnan(c), c)
+
+
+def _parts(n: int, digits: int = 6) -> list[Column]:
+    return [F.round(_known(F.get("v", F.lit(i)).cast("double")), digits).alias(f"v{i}") for i in range(n)]
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -51,12 +61,12 @@ def f1_framed(spark, d):
 q as (select series_id, n, unnest(range(0, w)) part from n),
 p as (select series_id, part, idx + 4 j, v[part + 1] v from e join q using (series_id) union all select series_id, part, unnest(range(0, 4)), 0.0 from q union all select series_id, part, unnest(range(n + 4, n + 8)), 0.0 from q),
 f as (select series_id, part, unnest(range(0, n // 4 + 1)) k from q)
-select f.series_id, k as idx, cast(f.part as integer) part, min(v) as "min", max(v) as "max", round(avg(v), 6) as mean, median(v) as median
+select f.series_id, k as idx, cast(f.part as integer) part, case when not isnan(min(v)) then min(v) end as "min", case when not isnan(max(v)) then max(v) end as "max", round(case when not isnan(avg(v)) then avg(v) end, 6) as mean, case when not isnan(median(v)) then median(v) end as median
 from f join p on f.series_id = p.series_id and f.part = p.part and j >= k * 4 and j < k * 4 + 8 group by 1, 2, 3""")
 def f1_framed_parts(spark, d):
     kinds = ("min", "max", "mean", "median")
     f = S.framed(dense_frames(spark, d), 8, 4, True, 0.0, kinds)
-    return f.select("series_id", "idx", F.posexplode(F.arrays_zip(*kinds)).alias("part", "s")).select("series_id", "idx", "part", "s.min", "s.max", F.round("s.mean", 6).alias("mean"), "s.median")
+    return f.select("series_id", "idx", F.posexplode(F.arrays_zip(*kinds)).alias("part", "s")).select("series_id", "idx", "part", *[_known(F.col(f"s.{k}")).alias(k) for k in kinds]).withColumn("mean", F.round("mean", 6))
 
 
 @query("f6_resample_nearest", "with " + EVENTS + """,
@@ -81,7 +91,7 @@ def f7_resample_linear(spark, d):
     return S.resample_linear(series(spark, d), 100, 48).select("series_id", "idx", *_r("v"))
 
 
-_PARTS = "round({0}[1], 6) v0, round({0}[2], 6) v1, round({0}[3], 6) v2"
+_PARTS = ", ".join("round(case when not isnan({0}[%d]) then {0}[%d] end, 6) v%d" % (i + 1, i + 1, i) for i in range(3))
 
 
 @query("f7_resample_linear_parts", "with " + FRAMES + """,
@@ -91,7 +101,7 @@ y as (select x.series_id, k as idx, list_transform([1, 2, 3], lambda c: a.v[c] +
 select series_id, idx, """ + _PARTS.format("v") + " from y")
 def f7_resample_linear_parts(spark, d):
     r = S.resample_linear(dense_frames(spark, d), 100, 48)
-    return r.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+    return r.select("series_id", "idx", *_parts(3))
 
 
 # ------------------------------------------------------------- splitting
@@ -122,7 +132,7 @@ x as (select series_id, idx, v from e union all select series_id, unnest(range(n
 select series_id, idx, """ + _PARTS.format("v") + " from x")
 def h2_padding_parts(spark, d):
     p = S.pad_tail(dense_frames(spark, d), -1.0)
-    return p.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+    return p.select("series_id", "idx", *_parts(3))
 
 
 _RATES = "r as (select series_id, min(rate) rate from series_meta where rate > 0 and rate < 'infinity'::double group by 1)"
@@ -134,7 +144,7 @@ select k.series_id, k as idx, """ + _PARTS.format("v") + " from k join e on k.se
 def f6_resample_rates(spark, d):
     """Frames of one to three components, each series from its own rate to 50."""
     p = S.resample_nearest(dense_frames(spark, d), rates(spark, d), 50)
-    return p.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+    return p.select("series_id", "idx", *_parts(3))
 
 
 @query("f7_resample_linear_rates", "with " + FRAMES + ", " + _RATES + """,
@@ -144,7 +154,7 @@ y as (select x.series_id, k as idx, list_transform([1, 2, 3], lambda c: a.v[c] +
 select series_id, idx, """ + _PARTS.format("v") + " from y")
 def f7_resample_linear_rates(spark, d):
     r = S.resample_linear(dense_frames(spark, d), rates(spark, d), 50)
-    return r.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+    return r.select("series_id", "idx", *_parts(3))
 
 
 @query("h1_split_rates", "with " + FRAMES + ", " + _RATES + """,
@@ -153,7 +163,7 @@ select series_id, case when idx < b then 0 else 1 end segment, case when idx < b
 def h1_split_rates(spark, d):
     """Each series cut after two seconds of its own rate."""
     p = S.split(dense_frames(spark, d), (2.0,), rates(spark, d))
-    return p.select("series_id", "segment", "idx", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(3)])
+    return p.select("series_id", "segment", "idx", *_parts(3))
 
 
 @query("d5_collect_rates", "with " + FRAMES + ", " + _RATES + """,
@@ -161,12 +171,12 @@ m as (select series_id, rate, w, cast(floor(n * 50e0 / rate) as bigint) a, cast(
 k as (select series_id, rate, w, a, b, unnest(range(0, greatest(a, b))) k from m where least(a, b) > 0),
 x as (select k.series_id, k as idx, list_concat(list_transform(range(1, w + 1), lambda i: case when k < a then coalesce(p.v[i], 0) else 0 end), list_transform(range(1, w + 1), lambda i: case when k < b then coalesce(q.v[i], 0) else 0 end)) v
   from k left join e p on p.series_id = k.series_id and p.idx = cast(floor(k * rate / 50e0) as bigint) left join e q on q.series_id = k.series_id and q.idx = cast(floor(k * 80e0 / 50e0) as bigint))
-select series_id, idx, """ + ", ".join(f"round(cast(cast(v[{i + 1}] as float) as double), 4) v{i}" for i in range(6)) + " from x")
+select series_id, idx, """ + ", ".join(f"round(case when not isnan(v[{i + 1}]) then cast(cast(v[{i + 1}] as float) as double) end, 4) v{i}" for i in range(6)) + " from x")
 def d5_collect_rates(spark, d):
     """Frames at the rate of their series beside the same frames taken for 80 a second, at 50."""
     f = dense_frames(spark, d)
     c = S.collect([(f, rates(spark, d)), (f, 80)], 50, "max")
-    return c.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(6)])
+    return c.select("series_id", "idx", *_parts(6, 4))
 
 
 for _mode, _sql in [("edge", "greatest(least(j - 4, n - 1), 0)"), ("reflect", "case when n = 1 then 0 when (j - 4 + 20 * (n - 1)) % (2 * (n - 1)) < n then (j - 4 + 20 * (n - 1)) % (2 * (n - 1)) else 2 * (n - 1) - (j - 4 + 20 * (n - 1)) % (2 * (n - 1)) end"), ("wrap", "(j - 4 + 20 * n) % n")]:
@@ -263,13 +273,13 @@ b as (select series_id, idx // 3 idx, v from e where idx % 3 = 0),
 m as (select series_id, coalesce(max(len(v)), 0) u from b group by 1),
 x as (select e.series_id, e.idx, list_concat(list_transform(range(1, w + 1), lambda i: coalesce(e.v[i], 0)), list_transform(range(1, u + 1), lambda i: coalesce(b.v[i], 0))) v
   from e join n using (series_id) join m on m.series_id = e.series_id left join b on b.series_id = e.series_id and b.idx = e.idx)
-select series_id, idx, """ + ", ".join(f"round(cast(cast(v[{i + 1}] as float) as double), 4) v{i}" for i in range(6)) + " from x")
+select series_id, idx, """ + ", ".join(f"round(case when not isnan(v[{i + 1}]) then cast(cast(v[{i + 1}] as float) as double) end, 4) v{i}" for i in range(6)) + " from x")
 def d5_collect_parts(spark, d):
     """Frames of one to three components beside every third of them, which ends early."""
     f = dense_frames(spark, d)
     third = f.where("idx % 3 = 0").withColumn("idx", F.floor(F.col("idx") / 3).cast("bigint"))
     c = S.collect([(f, 100), (third, 100)], 100, "max")
-    return c.select("series_id", "idx", *[F.round(F.get("v", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(6)])
+    return c.select("series_id", "idx", *_parts(6, 4))
 
 
 @query("d5_length_spread", f"with {SOURCES}, {_LEN} select series_id, least(na, nb) shortest, greatest(na, nb) longest, abs(na - nb) / 1e2 as seconds from k join m using (series_id) where abs(na - nb) / 1e2 > 0.015")
