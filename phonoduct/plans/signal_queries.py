@@ -176,6 +176,19 @@ def k2_sessions(spark, d):
     return stream.sessions(table(spark, d, "events"), "user_id", "ts", "6 hours")
 
 
+@query("k2_repeated_values", """with m as (select time_bucket(interval 1 millisecond, max(ts)) - interval 1 day mark from events),
+o as (select *, ts > mark waits, max(ts) over (partition by user_id) latest from events, m),
+g as (select *, case when abs(value - lag(value) over w) <= 50 then 0 else 1 end new from o where not waits window w as (partition by user_id order by ts, value)),
+r as (select *, sum(new) over (partition by user_id order by ts, value rows unbounded preceding) r from g),
+s as (select user_id, r, min(ts) a, max(ts) z, count(*) n, any_value(latest) latest, any_value(mark) mark from r group by 1, 2)
+select user_id, a as "start", z as "end", n from s where r < (select max(r) from s t where t.user_id = s.user_id) or z + interval 1 day <= mark and latest <= mark""")
+def k2_repeated_values(spark, d):
+    """The events as a stream: runs whose value stays within 50 of the one before, as far as the watermark of a day lets them end."""
+    e = table(spark, d, "events")
+    s = spark.readStream.schema(e.schema).parquet(f"{d}/event[s].parquet")
+    return stream.finished(stream.repeated_values(s, "user_id", "ts", "value", 50.0, "1 day", "1 day"))
+
+
 @query("k3_sql_functions", """select utt_id, pos, list_position(""" + _LIST + """, phoneme) - 1 phoneme_id, cast(round_even(start_s * 100, 0) as bigint) as frame,
 round(10 * log10(greatest(end_s - start_s, 1e-10)), 6) db from phoneme_labels where utt_id is not null and start_s is not null and abs(start_s) < 1e9 and end_s is not null""")
 def k3_sql_functions(spark, d):

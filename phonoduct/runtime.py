@@ -31,18 +31,23 @@ def session(app: str = "phonoduct", cpus: int | str = "*", **conf: str) -> Spark
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> None:
+    """Make sure that the session has a checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where the session names none a temporary one is set on a local
+    It is ``spark.checkpoint.dir``. Where the session names none a temporary one is set on a local
     master, where no second machine is involved; on a cluster, whose machines would each write to their own disk, it raises.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {sc.master} share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

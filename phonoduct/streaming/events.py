@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from phonoduct.runtime import shared_folder
+
 
 def framed_stats(df: DataFrame, key: str, ts: str, value: str, frame: str = "1 hour", hop: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """(key, start, n, min, max, mean) of sliding windows; events later than ``late`` are left out of a stream."""
@@ -45,7 +48,7 @@ def repeated_values(df: DataFrame, key: str, ts: str, value: str, within: float
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, end, n, last, ts0, vs0 = state.getOption or (0, 0, 0, 0.0, [], [])
         parts = [] if state.hasTimedOut else list(batches)
-        t = np.concatenate([np.asarray(ts0, np.int64), *[b["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for b in parts]])
+        t = np.concatenate([np.asarray(ts0, np.int64), *[b["us"].to_numpy(np.int64) for b in parts]])
         v = np.concatenate([np.asarray(vs0, float), *[b["v"].to_numpy(float) for b in parts]])
         mark = state.getCurrentWatermarkMs() * 1000
         order = np.lexsort((v, t))
@@ -73,10 +76,22 @@ def repeated_values(df: DataFrame, key: str, ts: str, value: str, within: float
             state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"k": [k[0]] * len(rows), "start": pd.to_datetime([r[0] for r in rows], unit="us"), "end": pd.to_datetime([r[1] for r in rows], unit="us"), "n": [r[2] for r in rows]})
+        if rows:
+            yield pd.DataFrame({"k": [k[0]] * len(rows), **{c: np.array([r[i] for r in rows], np.int64) for i, c in enumerate(("start", "end", "n"))}})
 
-    kind = dict(df.dtypes)[key]
-    d = df.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).where("k is not null and v is not null").withWatermark("ts", late)
+    kind, clock = dict(df.dtypes)[key], dict(df.dtypes)[ts]
+    d = df.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).where("k is not null and v is not null")
+    d = d.withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
     kept = "start bigint, end bigint, n bigint, last double, ts array<bigint>, vs array<double>"
-    out = d.groupBy("k").applyInPandasWithState(step, f"k {kind}, start timestamp, end timestamp, n bigint", kept, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumnRenamed("k", key)
+    out = d.groupBy("k").applyInPandasWithState(step, f"k {kind}, start bigint, end bigint, n bigint", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.col("k").alias(key), *[F.timestamp_micros(c).cast(clock).alias(c) for c in ("start", "end")], "n")
+
+
+def finished(df: DataFrame) -> DataFrame:
+    """What a streaming query gives for all that its source holds now, as a table in the shared folder."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    q = df.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
