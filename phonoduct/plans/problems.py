@@ -15,16 +15,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return periods_and_gaps(label_ticks(table(spark, d, "phoneme_labels")), "utt_id", "s", "e")
 
 
+#: Frames of a season: at the usual 200 frames a second, a tenth of one.
+PERIOD = 20
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Bad frames of each pitch series, and idx -1 for series with a bad rate."""
-    frames = flag_frames(table(spark, d, "f0_frames")).select("series_id", "idx")
+    frames = flag_frames(table(spark, d, "f0_frames"), limits=Limits(alpha=0.05, period=PERIOD)).select("series_id", "idx")
     return frames.unionByName(bad_rates(table(spark, d, "series_meta")).select("series_id", F.lit(-1).cast("bigint").alias("idx")))
 
 
-#: Frames of a season: at the usual 200 frames a second, a tenth of one.
-PERIOD = 20
-
-
 def p2_esd(spark: SparkSession, d: str) -> DataFrame:
     """Bad frames by the verdict of seasonal-trend decomposition and generalised ESD."""
     return esd_frames(table(spark, d, "f0_frames"), limits=Limits(alpha=0.05, period=PERIOD))
